@@ -11,10 +11,14 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import neighbours, packing, pii, token_counts, toxicity, warc
+from . import hmm, neighbours, packing, pii, token_counts, toxicity, warc
 from .common import table
 
 
+def op1_hmm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return hmm.score_texts(table(spark, sf_dir, "documents"))
+
+
 def op4_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.find_pii(table(spark, sf_dir, "documents"))
 
@@ -40,7 +44,7 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op4_pii, op5_warc, op7_neighbours, op8_token_counts, op9_packing, op10_toxicity)}
+    return {f.__name__: f for f in (op1_hmm, op4_pii, op5_warc, op7_neighbours, op8_token_counts, op9_packing, op10_toxicity)}
 
 
 def oracle_sql() -> dict[str, str]:
