@@ -11,7 +11,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import hmm, mixing, neighbours, packing, pii, quality, token_counts, toxicity, warc
+from . import hmm, mixing, neighbours, ngram_join, packing, pii, quality, token_counts, toxicity, warc
 from .common import table
 
 
@@ -35,6 +35,10 @@ def op5_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.round_trip(table(spark, sf_dir, "pages")).drop("error")
 
 
+def op6_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_join.join_similar(table(spark, sf_dir, "documents"))
+
+
 def op7_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neighbours.search(table(spark, sf_dir, "embeddings"))
 
@@ -52,7 +56,7 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_hmm, op2_mixing, op3_quality, op4_pii, op5_warc, op7_neighbours, op8_token_counts, op9_packing, op10_toxicity)}
+    return {f.__name__: f for f in (op1_hmm, op2_mixing, op3_quality, op4_pii, op5_warc, op6_ngram_join, op7_neighbours, op8_token_counts, op9_packing, op10_toxicity)}
 
 
 def oracle_sql() -> dict[str, str]:
