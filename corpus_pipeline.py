@@ -1,15 +1,82 @@
-"""The corpus pipeline: stages over ``documents``, each written and read again."""
+"""The corpus pipeline: stages over ``documents``, each written and read again.
+
+toxicity     documents scored as toxic go
+near copies  of each group of similar documents the one with the smallest id stays
+pii          personal data in the texts is replaced
+mixing       the rows are written in the order of the source mix
+packing      texts are tokenised, laid end to end in that order, and cut
+
+Each stage takes (spark, docs, sf_dir) and gives a DataFrame; all but the last
+return the columns of their input.
+"""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+import public_tokenizers
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
+
+from textloom.llm import mixing, ngram_join, packing, pii, toxicity
+from textloom.llm.common import fresh_path, table
+from textloom.session import ship
+
+TOXIC_AT = 0.7
+
+
+def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Rows whose text scores below the threshold."""
+    ship(spark)
+    scorer = toxicity.fit(docs, table(spark, sf_dir, "labels"))
+    return toxicity.score_texts(docs, scorer).filter(F.col("toxicity") < TOXIC_AT).select(*docs.columns)
+
+
+def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The row with the smallest id of each group; of rows that repeat an id
+    one stays.  Rows without an id are kept."""
+    ship(spark)
+    found = ngram_join.join_similar(docs)
+    kept = found.filter("doc_id = component_id").select(F.col("doc_id").alias("_kept")).distinct()
+    once = Window.partitionBy("_kept").orderBy(F.length("text"), F.xxhash64("text"))
+    named = docs.join(kept, F.col("doc_id") == F.col("_kept")).withColumn("_n", F.row_number().over(once)).filter("_n = 1")
+    return named.select(*docs.columns).unionByName(docs.filter("doc_id is null"))
+
+
+def redact_pii(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """All rows, with personal data replaced by its kind."""
+    ship(spark)
+    return pii.redact_texts(docs)
+
+
+def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """All rows, in the order of the source mix."""
+    ship(spark)
+    return mixing.mixed(docs)
+
+
+def pack_tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """A row for each piece of a packed sequence."""
+    ship(spark)
+    return packing.pack(docs, public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("byte_bpe_50k.tiktoken"))
+
 
-STAGES: list = []
+STAGES = [
+    ("toxicity", drop_toxic),
+    ("near_copies", drop_near_copies),
+    ("pii", redact_pii),
+    ("mixing", mix_sources),
+    ("packing", pack_tokens),
+]
 
-#: Tokenising, decoding and learned models have no SQL form; tests/llm compares
+#: Decoding, learned models and tokenising have no SQL form; tests/llm compares
 #: the stages with brute-force versions.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    raise NotImplementedError
+    """All stages in order, each written as Parquet and read by the next."""
+    docs = table(ship(spark), sf_dir, "documents")
+    for name, stage in STAGES[:-1]:
+        out = fresh_path(spark, f"pipeline-{name}")
+        stage(spark, docs, sf_dir).write.parquet(out)
+        docs = spark.read.parquet(out)
+    return STAGES[-1][1](spark, docs, sf_dir)
