@@ -4,8 +4,8 @@ Plain identifiers are found in the text itself.  Then transducers rewrite the
 text: look-alike characters to their plain letters, spelled digits to digits,
 at/dot disguises to ``@`` and ``.``.  Each rewrite keeps a list of edits, so a
 span found in the rewritten text maps back through them to code points of the
-source.  Only spans that a rewrite touched and that overlap no plain span are
-added.
+source.  Only spans that a rewrite touched are added, where they overlap no
+plain span or reach beyond the ones within them.
 """
 
 from __future__ import annotations
@@ -205,7 +205,8 @@ def disguised(text: str, base: dict[str, list[Span]]) -> list[tuple[str, int, in
             shown = steps[-1].text[span[0] : span[1]]
             for step in reversed(steps):
                 span = step.back(span)
-            if text[span[0] : span[1]] == shown or any(a < span[1] and span[0] < b for a, b in taken):
+            clash = any(a < span[1] and span[0] < b and not (span[0] <= a and b <= span[1] and b - a < span[1] - span[0]) for a, b in taken)
+            if text[span[0] : span[1]] == shown or clash:
                 continue
             out.append((kind, *span))
     return out
