@@ -84,6 +84,11 @@ class Query:
         return base - reach * estimate, base - reach * (estimate + slack)
 
 
+def distance(x: np.ndarray, q: np.ndarray) -> np.ndarray:
+    """Euclidean distances of rows to ``q``, each summed coordinate by coordinate."""
+    return np.sqrt(np.ascontiguousarray(((x - q) ** 2).T).sum(axis=0))
+
+
 def top(q: np.ndarray, query: Query, own_id: int, k: int, ids: np.ndarray, x: np.ndarray, codes: np.ndarray, ones: np.ndarray, length: np.ndarray, own: np.ndarray) -> tuple[np.ndarray, np.ndarray, int]:
     """Ids and exact distances of the k nearest in a block, and how many were reranked."""
     estimate, least = query.bounds(codes, ones, length, own)
@@ -93,11 +98,11 @@ def top(q: np.ndarray, query: Query, own_id: int, k: int, ids: np.ndarray, x: np
     probe = probe[allowed[probe]]
     if not len(probe):
         return ids[:0], np.zeros(0), 0
-    reach = np.sqrt(((x[probe] - q) ** 2).sum(axis=1)).max() if len(probe) >= k else np.inf
+    reach = distance(x[probe], q).max() if len(probe) >= k else np.inf
     # a little room for rounding, so that equal distances are not lost
     pick = np.flatnonzero(allowed & (least <= reach * reach * (1 + 1e-9) + 1e-12))
     pick = np.union1d(pick, probe)
-    exact = np.sqrt(((x[pick] - q) ** 2).sum(axis=1))
+    exact = distance(x[pick], q)
     order = np.lexsort((ids[pick], exact))[:k]
     return ids[pick][order], exact[order], len(pick)
 

@@ -16,6 +16,7 @@ import unicodedata
 from bisect import bisect_right
 from collections.abc import Iterator
 
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -274,7 +275,7 @@ def redact_texts(docs: DataFrame, text_col: str = "text", length_col: str | None
     """
 
     @F.pandas_udf("string")
-    def clean(texts):  # noqa: ANN001, ANN202
+    def clean(texts: pd.Series) -> pd.Series:
         return texts.map(lambda t: None if t is None else redact(t))
 
     out = docs.withColumn(text_col, clean(F.col(text_col)))

@@ -59,5 +59,24 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {f.__name__: f for f in (op1_hmm, op2_mixing, op3_quality, op4_pii, op5_warc, op6_ngram_join, op7_neighbours, op8_token_counts, op9_packing, op10_toxicity)}
 
 
+_WARC = """with p as (select page_id, strlen(coalesce(html, '')) as n, sha1(coalesce(html, '')) as h from pages),
+l as (select h, max(page_id) as lead from p where n >= 1000 group by h)
+select page_id, n::bigint as payload_bytes, h as payload_digest, case when n >= 1000 and page_id <> lead then 'revisit' else 'response' end as record_type,
+case when n >= 1000 and page_id <> lead then lead end as refers_to from p left join l using (h)"""
+
+_JOIN = r"""with recursive w as (select doc_id, list_filter(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), lambda x: x <> '') as l from documents),
+s as (select distinct doc_id, array_to_string(l[i:i + 4], ' ') as g from w, unnest(range(1, greatest(len(l) - 4, 1) + 1)) as u(i) where len(l) > 0),
+n as (select doc_id, count(*) as n from s group by 1),
+o as (select a.doc_id as a, b.doc_id as b, count(*) as c from s a join s b using (g) where a.doc_id <> b.doc_id group by 1, 2),
+k as (select a, b from o join n x on x.doc_id = a join n y on y.doc_id = b where 100 * c >= 75 * (x.n + y.n - c)),
+r as (select doc_id as a, doc_id as b from documents union select r.a, k.b from r join k on k.a = r.b)
+select doc_id, coalesce(n.n, 0)::bigint as n_shingles, m.least as component_id from documents join (select a, min(b) as least from r group by 1) m on m.a = doc_id left join n using (doc_id)"""
+
+_NEAR = """with v as (select vec_id, embedding::double[] as e from embeddings where embedding is not null and len(list_filter(embedding, lambda x: x is null or not isfinite(x))) = 0 and len(list_filter(embedding, lambda x: x <> 0)) > 0),
+d as (select q.vec_id as query_id, c.vec_id, sqrt(list_sum(list_transform(list_zip(q.e, c.e), lambda p: (p[1] - p[2]) * (p[1] - p[2])))) as score from v q, v c where q.vec_id % 100 = 0 and c.vec_id <> q.vec_id),
+r as (select *, row_number() over (partition by query_id order by score, vec_id)::int as rank from d)
+select query_id, rank, vec_id, score from r where rank <= 10"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op5_warc": _WARC, "op6_ngram_join": _JOIN, "op7_neighbours": _NEAR}
