@@ -79,6 +79,11 @@ def build_prompt(query: Column, context: Column) -> Column:
     return F.concat(F.lit(f"{intro}\n\nQuestion: "), F.trim(query), F.lit("\n\nContext:\n"), F.trim(context), F.lit("\n\nAnswer:"))
 
 
+def extractive_answer(context: Column) -> Column:
+    """The first section of a context: the default instead of a model."""
+    return F.coalesce(F.trim(F.element_at(F.split(context, "\n--- Chunk [0-9]+ ---\n"), 2)), F.lit(""))
+
+
 #: A generator is given a batch of prompts and gives the answers.
 Generator = Callable[[pd.Series], pd.Series]
 
@@ -91,8 +96,7 @@ def answer(contexts: DataFrame, generator: Generator | None = None) -> DataFrame
     """
     blank = F.trim(F.coalesce("q", F.lit(""))) == ""
     if generator is None:
-        made = F.trim(F.element_at(F.split("context", "\n--- Chunk [0-9]+ ---\n"), 2))
-        made = F.coalesce(made, F.lit(""))
+        made = extractive_answer(F.col("context"))
     else:
 
         @F.pandas_udf("string")

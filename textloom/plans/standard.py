@@ -3,7 +3,7 @@ DuckDB text that must give the same rows."""
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from textloom.functions import metadata as md
@@ -369,9 +369,14 @@ cx as (select query_id, string_agg(section, chr(10) order by ordinal) as context
 
 
 def contexts(spark: Spark, sf_dir: str) -> DataFrame:
-    best = reranked(spark, sf_dir).select("query_id", F.lit(0).alias("channel_ord"), F.col("new_rank").alias("rank"), "text")
-    sparse = hits_with_text(spark, sf_dir).filter("channel = 'sparse'").select("query_id", F.lit(1).alias("channel_ord"), "rank", "text")
-    return rerank.build_context(best.unionByName(sparse), 3000)
+    """The reranked dense hits and then the sparse ones, from one search."""
+    hits = hits_with_text(spark, sf_dir)
+    dense = F.col("channel") == "dense"
+    score = F.when(dense, rerank.lexical_score(F.col("q"), F.col("text"))).otherwise(0.0)
+    w = Window.partitionBy("query_id", "channel_ord").orderBy(F.desc("rerank_score"), "rank")
+    ranked = hits.withColumn("rerank_score", score).withColumn("new_rank", F.row_number().over(w))
+    kept = ranked.filter(~dense | (F.col("new_rank") <= rerank.TOP_N))
+    return rerank.build_context(kept.select("query_id", "channel_ord", F.col("new_rank").alias("rank"), "text"), 3000)
 
 
 @register("context_build", f"{_CONTEXT} select query_id, context from cx")
@@ -390,8 +395,8 @@ def prompt_build(spark: Spark, sf_dir: str) -> DataFrame:
 @register("rag_flagship", f"{_CONTEXT} select query_id, q, length(context)::int as context_chars, context, case when trim(q) = '' then null else trim(string_split_regex(context, '\\n--- Chunk [0-9]+ ---\\n')[2]) end as answer from cx join {_ASKED} a using (query_id)")
 def rag_flagship(spark: Spark, sf_dir: str) -> DataFrame:
     found = contexts(spark, sf_dir).join(F.broadcast(asked(spark, sf_dir)), "query_id")
-    said = rerank.answer(found).select("query_id", "answer")
-    return found.join(said, "query_id").select("query_id", "q", F.length("context").alias("context_chars"), "context", "answer")
+    said = F.when(F.trim("q") != "", rerank.extractive_answer(F.col("context")))
+    return found.select("query_id", "q", F.length("context").alias("context_chars"), "context", said.alias("answer"))
 
 
 @register("hit_normalize", "select vec_id::varchar as id, (embedding[1]::double) as score, 'vector ' || vec_id as text, 1::int as n_metadata, label::int as page_number, null::int as paragraph_index, null::varchar as source_file, 'T' || label as title from embeddings")
