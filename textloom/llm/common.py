@@ -11,6 +11,8 @@ from pyspark.sql import functions as F
 #: ASCII blanks that separate words: space and tab to carriage return.  The
 #: ``split()`` of Python's ``bytes`` parts at the same six characters.
 BLANK = r"[\x20\x09-\x0D]+"
+#: Delete a query's shuffle files when it ends.
+SHUFFLE_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 WORD = r"[^\x20\x09-\x0D]+"
 
 
@@ -51,11 +53,19 @@ def drop_path(spark: SparkSession, out: str) -> None:
 def stage(df: DataFrame, label: str, compression: str = "snappy") -> DataFrame:
     """Write ``df`` as Parquet in the shared folder and read it back.
 
-    This cuts the lineage and survives the loss of any executor.
+    This cuts the lineage and survives the loss of any executor.  The shuffle
+    files of the write are deleted once it has ended, as nothing reads them
+    again, so a query of many steps holds those of one step at a time.
     """
-    out = fresh_path(df.sparkSession, label)
-    df.write.option("compression", compression).parquet(out)
-    return df.sparkSession.read.schema(df.schema).parquet(out)
+    spark = df.sparkSession
+    out = fresh_path(spark, label)
+    before = spark.conf.get(SHUFFLE_CLEANUP, "false")
+    spark.conf.set(SHUFFLE_CLEANUP, "true")
+    try:
+        df.write.option("compression", compression).parquet(out)
+    finally:
+        spark.conf.set(SHUFFLE_CLEANUP, before)
+    return spark.read.schema(df.schema).parquet(out)
 
 
 def id_residue(col: Column, mod: int) -> Column:
@@ -65,3 +75,19 @@ def id_residue(col: Column, mod: int) -> Column:
 
 def shuffle_width(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
+
+
+def most_frequent(counts: DataFrame, n_col: str, most: int) -> DataFrame:
+    """The rows of the highest counts, ``most`` at most in all.
+
+    Counts are ranked by 64ths of an octave: a histogram of at most some
+    thousand rows gives the lowest rank that still fits, so no task sends more
+    to the driver than is wanted in the end.
+    """
+    rank = F.floor(F.log2(F.col(n_col).cast("double")) * 64)
+    room, least = most, None
+    for row in counts.groupBy(rank.alias("rank")).agg(F.count(F.lit(1)).alias("rows")).orderBy(F.desc("rank")).collect():
+        if row["rows"] > room:
+            break
+        room, least = room - row["rows"], row["rank"]
+    return counts.filter(F.lit(False) if least is None else rank >= least)

@@ -1,7 +1,7 @@
 """A hidden Markov language model over words.
 
-Latent states emit symbols: each of the ``top_words`` most frequent training
-words is one, all other words fall into ``tail_classes`` classes by their
+Latent states emit symbols: each of the most frequent training words
+(``top_words`` at most) is one, all other words fall into ``tail_classes`` classes by their
 ending, and the text's end is one.  Within a class, a word's share is its
 discounted training count, and the discounted mass is that of an unknown word
 of the class; this factor is the same in all states, so it is joined to the
@@ -30,7 +30,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import id_residue, stage
+from .common import id_residue, most_frequent, stage
 
 END = b"\n"
 SEGMENT = 512
@@ -206,15 +206,13 @@ class Vocabulary:
         ones, twos = row["n1"] or 0, row["n2"] or 0
         self.discount = min(0.95, max(0.05, ones / (ones + 2 * twos))) if ones and twos else 0.5
         words = counts.filter(F.col("word") != F.lit(END))
-        best = words.orderBy(F.desc("c"), "word").limit(top_words).collect()  # a bounded table
-        self.index = {bytes(r["word"]): i for i, r in enumerate(best)}
-        self.counts = np.array([r["c"] for r in best], dtype=np.int64)
+        best = sorted(((int(r["c"]), bytes(r["word"])) for r in most_frequent(words, "c", top_words).collect()), key=lambda x: (-x[0], x[1]))  # top_words rows at most
+        self.index = {word: i for i, (_, word) in enumerate(best)}
+        self.counts = np.array([c for c, _ in best], dtype=np.int64)
         self.classes, self.top = classes, len(best)
         self.end = self.top + classes
         #: tail words of the counts, with their class
-        last = (int(best[-1]["c"]), bytes(best[-1]["word"])) if best else (0, b"")
-        behind = (F.col("c") < last[0]) | ((F.col("c") == last[0]) & (F.col("word") > F.lit(last[1])))
-        self.tail = words.filter(behind if len(best) == top_words else F.lit(False)).withColumn("class", self.class_of(F.col("word")))
+        self.tail = (words.filter(F.col("c") < best[-1][0]) if best else words).withColumn("class", self.class_of(F.col("word")))
         self.mass, self.kinds = np.zeros(classes, dtype=np.int64), np.zeros(classes, dtype=np.int64)
         for r in self.tail.groupBy("class").agg(F.sum("c").alias("n"), F.count(F.lit(1)).alias("v")).collect():  # a row a class at most
             self.mass[r["class"]], self.kinds[r["class"]] = r["n"], r["v"]
@@ -301,10 +299,12 @@ def expected_counts(encoded: DataFrame, model: Model) -> DataFrame:
     return rows.groupBy("symbol").agg(*(F.sum(c).alias(c) for c in names[1:]))
 
 
-def train(encoded: DataFrame, shares: np.ndarray, states: int, iterations: int, sample_texts: int, sample_words: int, sample_iterations: int) -> Model:
+def train(encoded: DataFrame, shares: np.ndarray, n_texts: int, states: int, iterations: int, sample_texts: int, sample_words: int, sample_iterations: int) -> Model:
     model = Model(shares, states)
     learn = encoded.filter("train")
-    few = learn.orderBy(F.xxhash64("key"), "key").limit(sample_texts).select(F.substring("ids", 1, 4 * sample_words).alias("ids")).collect()
+    # a hash keeps about twice the sample, so each task sends its share of it only
+    share = max(1, n_texts // (2 * sample_texts))
+    few = learn.filter(F.pmod(F.xxhash64("key"), F.lit(share)) == 0).orderBy(F.xxhash64("key"), "key").limit(sample_texts).select(F.substring("ids", 1, 4 * sample_words).alias("ids")).collect()
     first = [np.frombuffer(r["ids"], dtype=np.int32) for r in few]
     if not first:
         return model
@@ -315,7 +315,7 @@ def train(encoded: DataFrame, shares: np.ndarray, states: int, iterations: int,
         model.update(total.start, total.move, total.emit)
     for _ in range(iterations):
         start, move, emit = np.zeros(states), np.zeros((states, states)), np.zeros((len(shares), states))
-        table = expected_counts(learn, model).toPandas().to_numpy(dtype=np.float64)  # symbols by states: a fixed size
+        table = stage(expected_counts(learn, model), "lm-expected").toPandas().to_numpy(dtype=np.float64)  # symbols by states: a fixed size
         ids = table[:, 0].astype(np.int64)
         start[:] = table[ids == -1, 1:].sum(axis=0)
         move[-2 - ids[ids < -1]] = table[ids < -1, 1:]
@@ -340,7 +340,7 @@ def score_texts(
     counts = stage(count_words(docs, id_col, text_col, train_row), "lm-counts")
     vocabulary = Vocabulary(counts, top_words, tail_classes)
     encoded = encode(docs, vocabulary, id_col, text_col, train_row)
-    model = train(encoded, vocabulary.shares, states, iterations, sample_texts, sample_words, sample_iterations)
+    model = train(encoded, vocabulary.shares, vocabulary.ends, states, iterations, sample_texts, sample_words, sample_iterations)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
