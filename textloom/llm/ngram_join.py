@@ -8,8 +8,9 @@ same lowest neighbour), cut to a bounded size; a group stores the union of its
 members' tokens as the rows of a token-by-member matrix.
 
 1. Within each group, the matrix counts all overlaps at once; only a spanning
-   forest of the links leaves the task.  A few members of the whole
-   neighbourhood (pivots) sit in each of its groups and tie them together.
+   forest of the links leaves the task.  The lowest neighbour and, where a
+   neighbourhood fills several groups, a few pivots of it are guests in each
+   and tie them together.
 2. Where sets with a shared prefix token still lie in different components,
    each such set queries the other's group: if its overlap with the union
    cannot reach the bound the group stays closed, else it is opened and the
@@ -17,7 +18,8 @@ members' tokens as the rows of a token-by-member matrix.
 
 Every linking pair shares a prefix token, so it is in one group, or is
 connected already, or is queried in step 2: no link between components is
-lost, and no step lists all pairs of a group.
+lost, and no step lists all pairs of a group.  (Pairs are listed only of sets
+that share a token with few others.)
 
 Tokens and sets are named by 64-bit hashes; for 10^9 different sets the odds
 that any two are taken for one are below 3 %.
@@ -34,13 +36,15 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import stage
+from .common import most_frequent, stage
 
 #: Multipliers of the rolling mix, odd.
 _MIX = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F, 0xE7037ED1A0B428DB, 0x8EBC6AF09C88C6E3)]
 COUNT_TOKENS = 3_000_000
 #: Tokens that the order puts last because they are frequent: at most so many, seen in so many texts.
-MOST_HEAVY, LEAST_HEAVY = 400_000, 12
+MOST_HEAVY, LEAST_HEAVY = 400_000, 6
+#: Pairs are formed within buckets of so many sets.
+SMALL_BUCKET = 64
 GROUP_SETS, GROUP_TOKENS, PIVOTS = 256, 2_000_000, 8
 QUERY_SETS = 512
 BITMAP_BITS = 25
@@ -142,15 +146,14 @@ def _raw(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
 def heavy_tokens(docs: DataFrame, width: int) -> tuple[np.ndarray, np.ndarray]:
     """A bounded list of frequent tokens and their counts.
 
-    Each task counts its own tokens and reports those it saw three times or
-    more; the sums over tasks rank them.  The list only sets the order of
+    Each task counts its own tokens and reports those it saw twice or more; the sums over tasks rank them.  The list only sets the order of
     tokens: any list gives the same links, a good one fewer candidates.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def out() -> pa.RecordBatch:
             token, n = np.unique(np.concatenate(held), return_counts=True)
-            often = n >= 3
+            often = n >= 2
             return pa.RecordBatch.from_arrays([pa.array(token[often].view(np.int64)), pa.array(n[often].astype(np.int64))], ["token", "n"])
 
         held, size = [], 0
@@ -165,7 +168,7 @@ def heavy_tokens(docs: DataFrame, width: int) -> tuple[np.ndarray, np.ndarray]:
             yield out()
 
     counts = docs.select("raw").mapInArrow(run, "token long, n long").groupBy("token").agg(F.sum("n").alias("n"))
-    best = counts.filter(F.col("n") >= LEAST_HEAVY).orderBy(F.desc("n"), "token").limit(MOST_HEAVY).toArrow()
+    best = most_frequent(stage(counts.filter(F.col("n") >= LEAST_HEAVY), "join-heavy"), "n", MOST_HEAVY).toArrow()
     token, n = best.column(0).to_numpy().view(np.uint64), best.column(1).to_numpy()
     order = np.argsort(token)
     return token[order], n[order]
@@ -220,6 +223,29 @@ def contract(edges: DataFrame, label: str) -> DataFrame:
     return stage(out, f"{label}-roots")
 
 
+def candidates(met: DataFrame, percent: int) -> tuple[DataFrame, DataFrame]:
+    """Staged, from (token, node, n, pos), the prefix tokens that sets have in
+    common: pairs (x, y, nx, ny) that may link, and the rows (token, node, n,
+    low) of tokens that too many sets share to form pairs.
+
+    Two sets have their c common prefix tokens in common and at most what
+    follows the last of those in either; pairs whose similarity this rules out
+    are dropped.  Pairs are formed only where at most ``SMALL_BUCKET`` sets
+    share a token, so their number grows with the input.  Two sets that also
+    share a more frequent token are candidates by that one.
+    """
+    by_token = Window.partitionBy("token")
+    sized = met.withColumn("sets", F.count(F.lit(1)).over(by_token)).withColumn("low", F.min("node").over(by_token))
+    rare = sized.filter(F.col("sets") <= SMALL_BUCKET)
+    left, right = (rare.select("token", F.col("node").alias(c), F.col("n").alias(f"n{c}"), F.col("pos").alias(f"p{c}")) for c in "xy")
+    fits = (F.col("x") < F.col("y")) & (100 * F.col("nx") >= percent * F.col("ny")) & (100 * F.col("ny") >= percent * F.col("nx"))
+    pairs = left.join(right, "token").filter(fits).groupBy("x", "y", "nx", "ny").agg(F.count(F.lit(1)).alias("c"), F.max("px").alias("px"), F.max("py").alias("py"))
+    most = F.col("c") + F.least(F.col("nx") - F.col("px") - 1, F.col("ny") - F.col("py") - 1)
+    close = pairs.filter((100 + percent) * most >= percent * (F.col("nx") + F.col("ny"))).select("x", "y", "nx", "ny")
+    often = sized.filter(F.col("sets") > SMALL_BUCKET).select("token", "node", "n", "low")
+    return stage(close, "join-close"), stage(often, "join-often")
+
+
 def _sets(column: pd.Series) -> list[np.ndarray]:
     return [np.frombuffer(b, dtype=np.uint64) for b in column]
 
@@ -228,13 +254,16 @@ def link_components(spark: SparkSession, docs: DataFrame, fronts: DataFrame, wid
     """(node, root) of the nodes that link with another."""
     # tokens that the prefixes of two or more sets share
     by_token = Window.partitionBy("token")
-    tokens = fronts.filter("prefix is not null").select("node", "n", F.explode("prefix").alias("token"))
-    shared = tokens.withColumn("low", F.min("node").over(by_token)).withColumn("high", F.max("node").over(by_token)).filter("low <> high").select("token", "node", "n", "low").distinct()
-    shared = stage(shared, "join-shared")
+    several = (F.min("node").over(by_token) != F.max("node").over(by_token)).alias("several")
+    tokens = fronts.filter("prefix is not null").select("node", "n", F.posexplode("prefix").alias("pos", "token"))
+    met = stage(tokens.select("*", several).filter("several").select("token", "node", "n", "pos").distinct(), "join-met")
+    close, often = candidates(met, percent)
 
     # groups: sets with the same lowest neighbour, in order of size, cut to bounded pieces
     near = Window.partitionBy("leader").orderBy("n", "node")
-    nodes = shared.groupBy("node", "n").agg(F.min("low").alias("leader"))
+    low = F.col("x").alias("low")
+    neighbours = close.select(F.col("x").alias("node"), F.col("nx").alias("n"), low).unionByName(close.select(F.col("y").alias("node"), F.col("ny").alias("n"), low)).unionByName(often.select("node", "n", "low"))
+    nodes = neighbours.groupBy("node", "n").agg(F.min("low").alias("leader"))
     nodes = nodes.withColumn("piece", F.struct(F.floor((F.row_number().over(near) - 1) / GROUP_SETS).alias("a"), F.floor((F.sum("n").over(near) - F.col("n")) / GROUP_TOKENS).alias("b")))
     nodes = nodes.withColumn("pivot", F.row_number().over(Window.partitionBy("leader").orderBy("node")) <= PIVOTS)
     nodes = stage(nodes.select("node", "n", "leader", "pivot", F.xxhash64("leader", "piece").alias("gid")), "join-nodes")
@@ -264,21 +293,31 @@ def link_components(spark: SparkSession, docs: DataFrame, fronts: DataFrame, wid
         pairs = forest(_sets(frame["tokens"]), percent) if len(ids) > 1 else []
         return pd.DataFrame({"a": [ids[i] for i, _ in pairs], "b": [ids[j] for _, j in pairs]}, dtype="int64")
 
-    guides = sets.filter("pivot").select("node", "tokens", "leader")
-    pieces = sets.select("leader", "gid").distinct()
-    members = sets.select("gid", "node", "tokens").unionByName(guides.join(pieces, "leader").select("gid", "node", "tokens"))
+    pieces = nodes.groupBy("leader", "gid").agg(F.count(F.lit(1)).alias("own"))
+    pieces = pieces.withColumn("several", F.count(F.lit(1)).over(Window.partitionBy("leader")) > 1)
+    lead = pieces.select("gid", F.col("leader").alias("node"))
+    pivots = pieces.filter("several").select("leader", "gid").join(nodes.filter("pivot").select("leader", "node"), "leader").select("gid", "node")
+    guests = lead.unionByName(pivots).join(nodes.select("node", F.col("gid").alias("home")), "node").filter("gid <> home").select("gid", "node").distinct()
+    members = sets.select("gid", "node", "tokens").unionByName(guests.join(sets.select("node", "tokens"), "node").select("gid", "node", "tokens"))
     first_edges = stage(members.groupBy("gid").applyInPandas(inside, "a long, b long"), "join-links")
     roots = contract(first_edges, "join-first")
 
-    # 2. across groups, where a shared token still joins different components
-    placed = shared.select("token", "node", "n").join(nodes.select("node", "gid"), "node").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
-    placed = placed.withColumn("low", F.min("root").over(by_token)).withColumn("high", F.max("root").over(by_token)).filter("low <> high")
-    placed = stage(placed.select("token", "node", "n", "gid", "root"), "join-open")
-    size = placed.groupBy("gid").agg(F.countDistinct("node").alias("members"))
-    placed = placed.join(size, "gid")
+    # 2. across groups, where candidates still lie in different components:
+    # pairs by themselves, sets with a frequent token in common by their groups
+    home = nodes.select("node", "gid").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    ends = [home.select(F.col("node").alias(c), F.col("gid").alias(f"gid{c}"), F.col("root").alias(f"root{c}")) for c in "xy"]
+    apart = close.select("x", "y").join(ends[0], "x").join(ends[1], "y").filter("rootx <> rooty")
+    apart = apart.select(F.col("x").alias("node"), F.col("rootx").alias("root"), F.col("gidy").alias("gid"))
+
+    by_token = Window.partitionBy("token")
+    placed = often.select("token", "node", "n").join(home, "node")
+    placed = placed.withColumn("one", F.min("root").over(by_token) == F.max("root").over(by_token)).filter("not one").drop("one")
+    placed = stage(placed, "join-open")
+    placed = placed.join(placed.groupBy("gid").agg(F.countDistinct("node").alias("members")), "gid")
     there = placed.groupBy("token", "gid", "members").agg(F.min("n").alias("least"), F.max("n").alias("most"), F.min("root").alias("low"), F.max("root").alias("high")).select("token", *(F.col(c).alias(f"g_{c}") for c in ("gid", "members", "least", "most", "low", "high")))
-    ask = placed.join(there, "token").filter((F.struct("members", "gid") < F.struct("g_members", "g_gid")) & ~((F.col("g_low") == F.col("root")) & (F.col("g_high") == F.col("root"))) & (100 * F.col("n") >= percent * F.col("g_least")) & (100 * F.col("g_most") >= percent * F.col("n")))
-    ask = stage(ask.select("node", "root", F.col("g_gid").alias("gid")).distinct(), "join-asked")
+    fits = (F.struct("members", "gid") < F.struct("g_members", "g_gid")) & ~((F.col("g_low") == F.col("root")) & (F.col("g_high") == F.col("root"))) & (100 * F.col("n") >= percent * F.col("g_least")) & (100 * F.col("g_most") >= percent * F.col("n"))
+    wide = placed.join(there, "token").filter(fits).select("node", "root", F.col("g_gid").alias("gid"))
+    ask = stage(apart.unionByName(wide).distinct(), "join-asked")
 
     load = ask.groupBy("gid").agg(F.ceil(F.count(F.lit(1)) / QUERY_SETS).cast("int").alias("parts"))
     asked = ask.join(load, "gid").withColumn("part", F.pmod(F.xxhash64("node"), F.col("parts")).cast("int")).join(sets.select("node", "tokens"), "node")
