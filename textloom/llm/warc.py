@@ -185,10 +185,21 @@ def write_archives(pages: DataFrame, path: str, least_bytes: int = 1000, segment
 
 # ---- reading
 
-_PARSED = "origin string, number int, total long, page_id long, kind string, refers_to long, digest string, block binary"
+_PARSED = "origin string, number int, total long, page_id long, kind string, refers_to long, digest string, size long, error string, block binary"
 _READ = "page_id long, record_type string, payload_bytes long, payload_digest string, refers_to long, error string"
 
 
+def decoded(block: bytes, stored: str) -> tuple[int | None, str, str | None]:
+    """(payload bytes, its digest, error) of a whole block; the stored digest
+    where it cannot be decoded."""
+    try:
+        payload = http_payload(block)
+    except ValueError as e:
+        return None, stored, str(e)
+    found = hashlib.sha1(payload).hexdigest()
+    return len(payload), found, "digest differs" if stored and stored != found else None
+
+
 def _number(fields: dict[str, str], name: str) -> int | None:
     return int(fields[name]) if name in fields else None
 
@@ -197,14 +208,15 @@ def read_archives(spark: SparkSession, path: str) -> DataFrame:
     """One row per page record: page_id, record_type, payload_bytes,
     payload_digest, refers_to, error.
 
-    A record that cannot be reassembled or decoded keeps its row, with the
+    Records of one piece are decoded where they are read; only the blocks of
+    segments are shuffled.  A record that cannot be reassembled or decoded keeps its row, with the
     reason in ``error`` and no bytes; a digest that differs from the stored
     one is an error too.  Revisits have no payload of their own here.
     """
 
     def parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names = [x.split()[0] for x in _PARSED.split(", ")]
-        kinds = [pa.string(), pa.int32(), pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.string(), pa.binary()]
+        kinds = [pa.string(), pa.int32(), pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.string(), pa.int64(), pa.string(), pa.binary()]
         for batch in batches:
             for i in range(batch.num_rows):
                 rows = []
@@ -212,7 +224,11 @@ def read_archives(spark: SparkSession, path: str) -> DataFrame:
                     kind = fields["warc-type"]
                     if kind not in ("response", "revisit", "continuation"):
                         continue
-                    rows.append((fields.get("warc-segment-origin-id") or fields["warc-record-id"], _number(fields, "warc-segment-number") or 1, _number(fields, "warc-segment-total-length"), _number(fields, "x-page-id"), kind, _number(fields, "x-refers-to-page-id"), fields.get("warc-payload-digest", "").removeprefix("sha1:"), b"" if kind == "revisit" else block))
+                    number = _number(fields, "warc-segment-number")
+                    size, digest, error = None, fields.get("warc-payload-digest", "").removeprefix("sha1:"), None
+                    if number is None and kind == "response":
+                        size, digest, error = decoded(block, digest)
+                    rows.append((fields.get("warc-segment-origin-id") or fields["warc-record-id"], number, _number(fields, "warc-segment-total-length"), _number(fields, "x-page-id"), kind, _number(fields, "x-refers-to-page-id"), digest, size, error, None if number is None else block))
                 for k in range(0, len(rows), 512):
                     yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows[k : k + 512]), kinds)], names)
 
@@ -221,14 +237,10 @@ def read_archives(spark: SparkSession, path: str) -> DataFrame:
             rows = []
             for parts in batch.column(0).to_pylist():
                 first = next((p for p in parts if p["kind"] != "continuation"), parts[0])
-                kind, size, digest, error = first["kind"], None, first["digest"], None
-                if kind != "revisit":
+                kind, size, digest, error = first["kind"], first["size"], first["digest"], first["error"]
+                if first["number"] is not None:
                     try:
-                        payload = http_payload(whole([(p["number"], p["total"], p["block"]) for p in parts]))
-                        size, found = len(payload), hashlib.sha1(payload).hexdigest()
-                        if digest and found != digest:
-                            error = "digest differs"
-                        digest = found
+                        size, digest, error = decoded(whole([(p["number"], p["total"], p["block"]) for p in parts]), digest)
                     except ValueError as e:
                         error = str(e)
                 rows.append((first["page_id"], kind, size, digest, first["refers_to"], error))
@@ -238,7 +250,7 @@ def read_archives(spark: SparkSession, path: str) -> DataFrame:
 
     files = spark.read.format("binaryFile").option("pathGlobFilter", "part-*").load(path).select("content")
     parts = files.mapInArrow(parse, _PARSED)
-    fields = F.struct("number", "total", "page_id", "kind", "refers_to", "digest", "block")
+    fields = F.struct("number", "total", "page_id", "kind", "refers_to", "digest", "size", "error", "block")
     return parts.groupBy("origin").agg(F.collect_list(fields).alias("parts")).select("parts").mapInArrow(join, _READ)
 
 
