@@ -47,6 +47,8 @@ MOST_HEAVY, LEAST_HEAVY = 400_000, 6
 SMALL_BUCKET = 64
 GROUP_SETS, GROUP_TOKENS, PIVOTS = 256, 2_000_000, 8
 QUERY_SETS = 512
+#: Rows of keys (three numbers each at most) that are broadcast.
+MOST_BROADCAST = 500_000
 BITMAP_BITS = 25
 
 
@@ -246,6 +248,12 @@ def candidates(met: DataFrame, percent: int) -> tuple[DataFrame, DataFrame]:
     return stage(close, "join-close"), stage(often, "join-often")
 
 
+def _narrow(keys: DataFrame) -> DataFrame:
+    """A staged table of a few numbers a row, broadcast if it is small, so that
+    the sets it is joined to need not be shuffled; beyond, Spark shuffles."""
+    return F.broadcast(keys) if keys.count() <= MOST_BROADCAST else keys
+
+
 def _sets(column: pd.Series) -> list[np.ndarray]:
     return [np.frombuffer(b, dtype=np.uint64) for b in column]
 
@@ -273,18 +281,22 @@ def link_components(spark: SparkSession, docs: DataFrame, fronts: DataFrame, wid
     firsts = fronts.filter("node is not null").groupBy("node").agg(F.min("id").alias("id")).join(nodes.select("node"), "node")
     bits = firsts.filter("id is not null").select(slot.alias("slot")).groupBy(F.expr("slot div 64").alias("word")).agg(F.expr("bit_or(shiftleft(1L, cast(slot % 64 as int)))").alias("mask"))
     marked = docs.withColumn("slot", slot).join(F.broadcast(stage(bits, "join-bits")), F.expr("slot div 64") == F.col("word"), "left")
-    picked = marked.filter("id is null or shiftright(mask, cast(slot % 64 as int)) & 1 = 1").select("raw")
+    picked = marked.filter("id is null or shiftright(mask, cast(slot % 64 as int)) & 1 = 1").select("raw", "id")
 
     def again(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = {}
-            for raw in batch.column(0):
+            found, at = {}, []
+            for k, raw in enumerate(batch.column(0)):
                 s = shingles(raw.as_buffer().to_pybytes(), width).tobytes()
-                if s:
-                    found[int(np.uint64(xxhash.xxh3_64_intdigest(s)).view(np.int64))] = s
-            yield pa.RecordBatch.from_arrays([pa.array(list(found), pa.int64()), pa.array(list(found.values()), pa.binary())], ["node", "tokens"])
+                node = int(np.uint64(xxhash.xxh3_64_intdigest(s)).view(np.int64))
+                if s and node not in found:
+                    found[node] = s
+                    at.append(k)
+            yield pa.RecordBatch.from_arrays([pa.array(list(found), pa.int64()), batch.column(1).take(pa.array(at, pa.int64())), pa.array(list(found.values()), pa.binary())], ["node", "id", "tokens"])
 
-    sets = stage(picked.mapInArrow(again, "node long, tokens binary").join(nodes, "node").dropDuplicates(["node"]), "join-sets")
+    # a set may come twice (equal texts in the bitmap); later steps take it once
+    sets = picked.mapInArrow(again, f"node long, id {docs.schema['id'].dataType.simpleString()}, tokens binary")
+    sets = stage(sets.join(_narrow(nodes.select("node", "gid")), "node").select("node", "gid", "tokens"), "join-sets")
 
     # 1. within the groups, with the pivots of the neighbourhood in each
     def inside(frame: pd.DataFrame) -> pd.DataFrame:
@@ -298,7 +310,8 @@ def link_components(spark: SparkSession, docs: DataFrame, fronts: DataFrame, wid
     lead = pieces.select("gid", F.col("leader").alias("node"))
     pivots = pieces.filter("several").select("leader", "gid").join(nodes.filter("pivot").select("leader", "node"), "leader").select("gid", "node")
     guests = lead.unionByName(pivots).join(nodes.select("node", F.col("gid").alias("home")), "node").filter("gid <> home").select("gid", "node").distinct()
-    members = sets.select("gid", "node", "tokens").unionByName(guests.join(sets.select("node", "tokens"), "node").select("gid", "node", "tokens"))
+    guests = _narrow(stage(guests, "join-guests"))
+    members = sets.select("gid", "node", "tokens").unionByName(sets.select("node", "tokens").join(guests, "node").select("gid", "node", "tokens"))
     first_edges = stage(members.groupBy("gid").applyInPandas(inside, "a long, b long"), "join-links")
     roots = contract(first_edges, "join-first")
 
@@ -320,8 +333,10 @@ def link_components(spark: SparkSession, docs: DataFrame, fronts: DataFrame, wid
     ask = stage(apart.unionByName(wide).distinct(), "join-asked")
 
     load = ask.groupBy("gid").agg(F.ceil(F.count(F.lit(1)) / QUERY_SETS).cast("int").alias("parts"))
-    asked = ask.join(load, "gid").withColumn("part", F.pmod(F.xxhash64("node"), F.col("parts")).cast("int")).join(sets.select("node", "tokens"), "node")
-    known = sets.select("gid", "node", "tokens").join(load, "gid").withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    questions = stage(ask.join(load, "gid").select("node", "root", "gid", F.pmod(F.xxhash64("node"), F.col("parts")).cast("int").alias("part")), "join-questions")
+    asked = sets.select("node", "tokens").join(_narrow(questions), "node")
+    shelves = stage(home.join(load, "gid").select("node", "root", "gid", "parts"), "join-shelves")
+    known = sets.select("node", "tokens").join(_narrow(shelves), "node").withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
 
     def across(queries: pd.DataFrame, group: pd.DataFrame) -> pd.DataFrame:
         out = []
