@@ -22,13 +22,16 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share.
+    """The folder that driver and executors share, from ``spark.checkpoint.dir``.
 
-    Read from ``spark.checkpoint.dir``; only where that is unset (tests) a
-    local folder is made and put there.
+    Only in a local session that has none set (tests) a local folder is made
+    and put there; on a cluster that is an error.
     """
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
+        master = spark.sparkContext.master
+        if master != "local" and not master.startswith("local["):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that driver and executors share")
         found = "file://" + tempfile.mkdtemp(prefix="textloom-")
         spark.conf.set("spark.checkpoint.dir", found)
     return found
@@ -73,6 +76,16 @@ def id_residue(col: Column, mod: int) -> Column:
     return F.coalesce(F.crc32(col.cast("string")) % mod, F.lit(0))
 
 
+#: Rows of a few numbers each that may be broadcast.
+MOST_BROADCAST = 500_000
+
+
+def narrow(keys: DataFrame, most: int = MOST_BROADCAST) -> DataFrame:
+    """A staged table of a few numbers a row, broadcast if it is small, so that
+    what it is joined to need not be shuffled; beyond, Spark shuffles."""
+    return F.broadcast(keys) if keys.count() <= most else keys
+
+
 def shuffle_width(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
