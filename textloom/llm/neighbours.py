@@ -11,7 +11,8 @@ original components, the rest is skipped.
 
 The index lies in blocks of rows, the queries in blocks too; each pair of
 blocks is one row of work, in bounded memory, and gives at most k rows for a
-query.
+query.  All blocks meet all queries, so with a fixed share of rows as queries
+the popcounts grow with the square of the rows.
 """
 
 from __future__ import annotations
@@ -20,6 +21,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -54,21 +56,23 @@ def encode(x: np.ndarray, mean: np.ndarray, turn: np.ndarray) -> tuple[np.ndarra
 class Query:
     """One rotated query as bit planes with its correction scalars."""
 
-    def __init__(self, q: np.ndarray, mean: np.ndarray, turn: np.ndarray):
-        self.dim = len(q)
+    def __init__(self, planes: np.ndarray, low: float, step: float, total: int, length: float, dim: int):
+        self.planes, self.low, self.step, self.total, self.length, self.dim = planes, low, step, total, length, dim
+
+    @classmethod
+    def of(cls, q: np.ndarray, mean: np.ndarray, turn: np.ndarray) -> Query:
+        dim = len(q)
         rest = (q - mean) @ turn
-        self.length = float(np.linalg.norm(rest))
-        unit = rest / (self.length or 1.0)
-        self.low = float(unit.min())
-        self.step = float(unit.max() - self.low) / (2**PLANES - 1) or 1.0
-        level = np.rint((unit - self.low) / self.step).astype(np.uint16)
-        self.total = int(level.sum())
-        words = -(-self.dim // 64)
-        planes = np.zeros((PLANES, words * 8), dtype=np.uint8)
+        length = float(np.linalg.norm(rest))
+        unit = rest / (length or 1.0)
+        low = float(unit.min())
+        step = float(unit.max() - low) / (2**PLANES - 1) or 1.0
+        level = np.rint((unit - low) / step).astype(np.uint16)
+        planes = np.zeros((PLANES, -(-dim // 64) * 8), dtype=np.uint8)
         for j in range(PLANES):
             bits = np.packbits((level >> j) & 1)
             planes[j, : len(bits)] = bits
-        self.planes = planes.view(np.uint64)
+        return cls(planes.view(np.uint64), low, step, int(level.sum()), length, dim)
 
     def bounds(self, codes: np.ndarray, ones: np.ndarray, length: np.ndarray, own: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(estimated, least likely) squared distances to the coded vectors."""
@@ -89,10 +93,10 @@ def distance(x: np.ndarray, q: np.ndarray) -> np.ndarray:
     return np.sqrt(np.ascontiguousarray(((x - q) ** 2).T).sum(axis=0))
 
 
-def top(q: np.ndarray, query: Query, own_id: int, k: int, ids: np.ndarray, x: np.ndarray, codes: np.ndarray, ones: np.ndarray, length: np.ndarray, own: np.ndarray) -> tuple[np.ndarray, np.ndarray, int]:
+def top(q: np.ndarray, query: Query, own_no: int, k: int, nos: np.ndarray, ids: np.ndarray, x: np.ndarray, codes: np.ndarray, ones: np.ndarray, length: np.ndarray, own: np.ndarray) -> tuple[np.ndarray, np.ndarray, int]:
     """Ids and exact distances of the k nearest in a block, and how many were reranked."""
     estimate, least = query.bounds(codes, ones, length, own)
-    allowed = ids != own_id
+    allowed = nos != own_no
     estimate = np.where(allowed, estimate, np.inf)
     probe = np.argpartition(estimate, k)[:k] if len(ids) > k else np.arange(len(ids))
     probe = probe[allowed[probe]]
@@ -122,10 +126,11 @@ def search(rows: DataFrame, every: int = 100, k: int = 10, block: int = 4096, qu
     """The k nearest of each query: query_id, rank, vec_id, score.
 
     Queries are the rows whose id is divisible by ``every``; candidates are
-    all rows with another id.  Nearest first, ties to the smaller id.  Vectors
+    all rows but the query's own.  Nearest first, ties to the smaller id.  Vectors
     that are null, zero or hold null or non-finite components take no part,
     nor do null ids, nor vectors of another than the most common length.  Rows
-    that repeat an id are candidates each.  A table without valid vectors
+    that repeat an id are candidates each, and queries each: every such row
+    has its own k rows, and the others among its candidates.  A table without valid vectors
     gives no rows.  Extra columns are not read.
     """
     spark = rows.sparkSession
@@ -148,39 +153,60 @@ def search(rows: DataFrame, every: int = 100, k: int = 10, block: int = 4096, qu
     mean, turn = np.array([r["mean"] for r in centre]), rotation(dim)
 
     def index(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        part, n = TaskContext.get().partitionId() << 33, 0
         for batch in batches:
             for at in range(0, batch.num_rows, block):
-                part = batch.slice(at, block)
-                x = _matrix(part.column(1), dim)
+                some = batch.slice(at, block)
+                x = _matrix(some.column(1), dim)
                 codes, length, own = encode(x, mean, turn)
-                ids = part.column(0).to_numpy(zero_copy_only=False).astype(np.int64)
-                yield pa.RecordBatch.from_arrays([pa.array([v.tobytes()], pa.binary()) for v in (ids, x, codes, length, own)], ["ids", "x", "codes", "length", "own"])
+                ids = some.column(0).to_numpy(zero_copy_only=False).astype(np.int64)
+                nos = np.arange(part + n, part + n + len(ids))
+                n += len(ids)
+                yield pa.RecordBatch.from_arrays([pa.array([v.tobytes()], pa.binary()) for v in (nos, ids, x, codes, length, own)], ["nos", "ids", "x", "codes", "length", "own"])
+
+    def pick(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """The queries among the rows of the index."""
+        for batch in batches:
+            for nos, ids, x in zip(*(batch.column(c).to_pylist() for c in range(3))):
+                nos, ids = np.frombuffer(nos, dtype=np.int64), np.frombuffer(ids, dtype=np.int64)
+                at = np.flatnonzero(ids % every == 0)
+                vectors = np.frombuffer(x).reshape(-1, dim)[at]
+                yield pa.RecordBatch.from_arrays([pa.array(nos[at]), pa.array(ids[at]), pa.array([v.tobytes() for v in vectors], pa.binary())], ["no", "id", "q"])
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Blocks of queries, each rotated and cut into bit planes once."""
         for batch in batches:
             for at in range(0, batch.num_rows, query_block):
-                part = batch.slice(at, query_block)
-                ids = part.column(0).to_numpy(zero_copy_only=False).astype(np.int64)
-                yield pa.RecordBatch.from_arrays([pa.array([v.tobytes()], pa.binary()) for v in (ids, _matrix(part.column(1), dim))], ["q_ids", "q"])
+                some = batch.slice(at, query_block)
+                nos, ids = (some.column(c).to_numpy(zero_copy_only=False).astype(np.int64) for c in (0, 1))
+                q = np.frombuffer(b"".join(some.column(2).to_pylist())).reshape(-1, dim)
+                found = [Query.of(v, mean, turn) for v in q]
+                planes = np.array([f.planes for f in found])
+                scalars = np.array([(f.low, f.step, f.total, f.length) for f in found])
+                yield pa.RecordBatch.from_arrays([pa.array([v.tobytes()], pa.binary()) for v in (nos, ids, q, planes, scalars)], ["q_nos", "q_ids", "q", "planes", "scalars"])
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for i in range(batch.num_rows):
                 row = {name: batch.column(c)[i].as_py() for c, name in enumerate(batch.schema.names)}
-                ids, q_ids = (np.frombuffer(row[c], dtype=np.int64) for c in ("ids", "q_ids"))
+                nos, ids, q_nos, q_ids = (np.frombuffer(row[c], dtype=np.int64) for c in ("nos", "ids", "q_nos", "q_ids"))
                 x, q = (np.frombuffer(row[c]).reshape(-1, dim) for c in ("x", "q"))
                 codes = np.frombuffer(row["codes"], dtype=np.uint64).reshape(len(ids), -1)
                 length, own = np.frombuffer(row["length"]), np.frombuffer(row["own"])
+                planes = np.frombuffer(row["planes"], dtype=np.uint64).reshape(len(q), PLANES, -1)
+                asked = [Query(p, low, step, int(total), size, dim) for p, (low, step, total, size) in zip(planes, np.frombuffer(row["scalars"]).reshape(-1, 4).tolist())]
                 ones = np.bitwise_count(codes).sum(axis=1, dtype=np.int64)
-                out = [(q_id, *top(vec, Query(vec, mean, turn), q_id, k, ids, x, codes, ones, length, own)) for q_id, vec in zip(q_ids, q)]
+                out = [top(vec, query, no, k, nos, ids, x, codes, ones, length, own) for no, vec, query in zip(q_nos, q, asked)]
+                sizes = [len(o[0]) for o in out]
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(np.repeat([o[0] for o in out], [len(o[1]) for o in out]), pa.int64()), pa.array(np.concatenate([o[1] for o in out])), pa.array(np.concatenate([o[2] for o in out]))],
-                    ["query_id", "vec_id", "score"],
+                    [pa.array(np.repeat(q_nos, sizes), pa.int64()), pa.array(np.repeat(q_ids, sizes), pa.int64()), pa.array(np.concatenate([o[0] for o in out])), pa.array(np.concatenate([o[1] for o in out]))],
+                    ["query_no", "query_id", "vec_id", "score"],
                 )
 
-    blocks = stage(usable.mapInArrow(index, "ids binary, x binary, codes binary, length binary, own binary"), "ann-index")
-    asked = usable.filter(F.col("id") % every == 0).repartition(-(-n_queries // query_block), "id")
-    asked = stage(asked.mapInArrow(pack, "q_ids binary, q binary"), "ann-queries")
-    found = blocks.crossJoin(asked).mapInArrow(scan, "query_id long, vec_id long, score double")
-    near = Window.partitionBy("query_id").orderBy("score", "vec_id")
+    blocks = stage(usable.mapInArrow(index, "nos binary, ids binary, x binary, codes binary, length binary, own binary"), "ann-index")
+    # queries are taken from the stored index, so a row has one number in both
+    asked = blocks.select("nos", "ids", "x").mapInArrow(pick, "no long, id long, q binary").repartition(-(-n_queries // query_block), "no")
+    asked = stage(asked.mapInArrow(pack, "q_nos binary, q_ids binary, q binary, planes binary, scalars binary"), "ann-queries")
+    found = blocks.crossJoin(asked).mapInArrow(scan, "query_no long, query_id long, vec_id long, score double")
+    near = Window.partitionBy("query_no").orderBy("score", "vec_id")
     return found.withColumn("rank", F.row_number().over(near)).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")

@@ -72,9 +72,9 @@ k as (select a, b from o join n x on x.doc_id = a join n y on y.doc_id = b where
 r as (select doc_id as a, doc_id as b from documents union select r.a, k.b from r join k on k.a = r.b)
 select doc_id, coalesce(n.n, 0)::bigint as n_shingles, m.least as component_id from documents join (select a, min(b) as least from r group by 1) m on m.a = doc_id left join n using (doc_id)"""
 
-_NEAR = """with v as (select vec_id, embedding::double[] as e from embeddings where embedding is not null and len(list_filter(embedding, lambda x: x is null or not isfinite(x))) = 0 and len(list_filter(embedding, lambda x: x <> 0)) > 0),
-d as (select q.vec_id as query_id, c.vec_id, sqrt(list_sum(list_transform(list_zip(q.e, c.e), lambda p: (p[1] - p[2]) * (p[1] - p[2])))) as score from v q, v c where q.vec_id % 100 = 0 and c.vec_id <> q.vec_id),
-r as (select *, row_number() over (partition by query_id order by score, vec_id)::int as rank from d)
+_NEAR = """with v as (select vec_id, row_number() over () as n, embedding::double[] as e from embeddings where embedding is not null and len(list_filter(embedding, lambda x: x is null or not isfinite(x))) = 0 and len(list_filter(embedding, lambda x: x <> 0)) > 0),
+d as (select q.n, q.vec_id as query_id, c.vec_id, sqrt(list_sum(list_transform(list_zip(q.e, c.e), lambda p: (p[1] - p[2]) * (p[1] - p[2])))) as score from v q, v c where q.vec_id % 100 = 0 and c.n <> q.n),
+r as (select *, row_number() over (partition by n order by score, vec_id)::int as rank from d)
 select query_id, rank, vec_id, score from r where rank <= 10"""
 
 
