@@ -10,11 +10,12 @@ over sequences of training words and one unknown word per class, its tables
 have a fixed size, and the words' counts never leave the cluster.
 
 Training: Baum-Welch.  Expected counts of states, transitions and emissions
-are computed per partition and added up by symbol, over all training texts, in
-segments of at most ``SEGMENT`` words (later segments begin in the average
-state).  The first tables come from a bounded sample (``sample_texts`` texts,
-``sample_words`` words of each) that only sets where the full iterations
-start.  Scoring: the scaled forward recursion over the whole text.
+are computed per partition and added up by symbol, over all training texts and
+the whole of each: a text's recursions run through it in stretches of
+``STRETCH`` words, with the forward belief kept at the borders and the backward
+one carried over them.  The first tables come from one pass over all training
+texts as well: each symbol's neighbours, counted in hashed slots, are grouped
+into the states.  Scoring: the scaled forward recursion over the whole text.
 """
 
 from __future__ import annotations
@@ -33,8 +34,10 @@ from pyspark.sql import functions as F
 from .common import id_residue, most_frequent, stage
 
 END = b"\n"
-SEGMENT = 512
+STRETCH = 512
 CHUNK_TOKENS = 250_000
+#: Slots of the neighbours on one side, and how much of a symbol goes to its group at first.
+SLOTS, OWN = 12, 0.7
 FLUSH_WORDS = 300_000
 #: Weight, in words, of the overall shares within each state's emissions.
 PRIOR = 200.0
@@ -94,79 +97,132 @@ class Expected:
         self.emit = np.zeros((symbols, states))
         self.log = self.tokens = 0.0
 
-    def add(self, flat: np.ndarray, lens: np.ndarray, first: np.ndarray, start: np.ndarray, again: np.ndarray, move: np.ndarray, emit: np.ndarray) -> None:
-        """One E step over segments; ``first`` marks those that begin a text."""
+    def add(self, flat: np.ndarray, lens: np.ndarray, start: np.ndarray, move: np.ndarray, emit: np.ndarray) -> None:
+        """One E step over whole sequences, in memory for a stretch of each."""
         order, begin, place = packing(lens)
-        n, states = len(flat), len(start)
-        packed = np.empty(n, dtype=np.int64)
+        states, steps = len(start), len(begin) - 1
+        packed = np.empty(len(flat), dtype=np.int64)
         packed[place] = flat
-        seen = emit[packed].astype(np.float32)
-        move32 = move.astype(np.float32)
-        alpha = np.empty((n, states), dtype=np.float32)
-        scale = np.empty(n, dtype=np.float32)
-        now = np.where(first[order][:, None], start, again).astype(np.float32)
-        for t in range(len(begin) - 1):
-            a, b = begin[t], begin[t + 1]
-            now = (now if t == 0 else now[: b - a] @ move32) * seen[a:b]
-            s = now.sum(axis=1)
-            now /= s[:, None]
-            alpha[a:b], scale[a:b] = now, s
-        beta = np.ones((n, states), dtype=np.float32)
-        back = move32.T.copy()
-        seen /= scale[:, None]
-        for t in range(len(begin) - 2, 0, -1):
-            a, b = begin[t], begin[t + 1]
-            seen[a:b] *= beta[a:b]
-            beta[begin[t - 1] : begin[t - 1] + b - a] = seen[a:b] @ back
-        later = np.arange(begin[1], n)
-        step = np.searchsorted(begin, later, side="right") - 1
-        before = begin[step - 1] + later - begin[step]
-        self.move += move * (alpha[before].T @ seen[later]).astype(np.float64)
-        gamma = alpha * beta
-        gamma /= gamma.sum(axis=1, keepdims=True)
-        self.start += gamma[: begin[1]][first[order]].sum(axis=0)
-        for k in range(states):
-            self.emit[:, k] += np.bincount(packed, weights=gamma[:, k], minlength=len(self.emit))
-        self.log += float(np.log(scale.astype(np.float64)).sum())
-        self.tokens += n
-
-
-def segments(ids: list[np.ndarray], most: int = SEGMENT) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(all ids, segment lengths, whether a segment begins its text)."""
-    lens, first = [], []
-    for x in ids:
-        full, rest = divmod(len(x), most)
-        own = [most] * full + ([rest] if rest else [])
-        lens += own
-        first += [True] + [False] * (len(own) - 1)
-    return np.concatenate(ids), np.array(lens, dtype=np.int64), np.array(first, dtype=bool)
+        table, move32, back = emit.astype(np.float32), move.astype(np.float32), move.T.astype(np.float32)
+        first = np.broadcast_to(start.astype(np.float32), (len(lens), states))
+
+        def ahead(now: np.ndarray, t: int, seen: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+            now = (now if t == 0 else now[: len(seen)] @ move32) * seen
+            scale = now.sum(axis=1)
+            now /= scale[:, None]
+            return now, scale
+
+        # the belief before each stretch; those within are made again on the way back
+        borders = [*range(0, steps, STRETCH), steps]
+        carried = [first]
+        for t0, t1 in zip(borders[:-2], borders[1:]):
+            now = carried[-1]
+            for t in range(t0, t1):
+                now, _ = ahead(now, t, table[packed[begin[t] : begin[t + 1]]])
+            carried.append(now)
+        later = None  # scaled emissions and later evidence of the next stretch's first step
+        for t0, t1, now in reversed(list(zip(borders, borders[1:], carried))):
+            low, high = begin[t0], begin[t1]
+            at = begin[t0 : t1 + 1] - low
+            seen = table[packed[low:high]]
+            alpha, scale = np.empty_like(seen), np.empty(high - low, dtype=np.float32)
+            for k in range(t1 - t0):
+                now, scale[at[k] : at[k + 1]] = ahead(now, t0 + k, seen[at[k] : at[k + 1]])
+                alpha[at[k] : at[k + 1]] = now
+            beta = np.ones_like(alpha)
+            if later is not None:
+                end = at[-2]
+                beta[end : end + len(later)] = later @ back
+                self.move += move * (alpha[end : end + len(later)].T @ later).astype(np.float64)
+            seen /= scale[:, None]
+            for k in range(t1 - t0 - 1, -1, -1):
+                a, b = at[k], at[k + 1]
+                seen[a:b] *= beta[a:b]
+                if k:
+                    beta[at[k - 1] : at[k - 1] + b - a] = seen[a:b] @ back
+            inner = np.arange(at[1], high - low)
+            step = np.searchsorted(at, inner, side="right") - 1
+            before = at[step - 1] + inner - at[step]
+            self.move += move * (alpha[before].T @ seen[inner]).astype(np.float64)
+            later = seen[: at[1]].copy()
+            gamma = alpha * beta
+            gamma /= gamma.sum(axis=1, keepdims=True)
+            if t0 == 0:
+                self.start += gamma[: at[1]].sum(axis=0)
+            for k in range(states):
+                self.emit[:, k] += np.bincount(packed[low:high], weights=gamma[:, k], minlength=len(self.emit))
+            self.log += float(np.log(scale.astype(np.float64)).sum())
+            self.tokens += high - low
+
+
+class Held:
+    """Texts that wait for a full chunk, long ones apart from short ones, so
+    that the steps of a chunk are wide."""
+
+    def __init__(self, action) -> None:  # noqa: ANN001
+        self.action = action
+        self.lists: dict[bool, list[np.ndarray]] = {False: [], True: []}
+        self.sizes = {False: 0, True: 0}
+
+    def put(self, ids: np.ndarray) -> None:
+        long = len(ids) > STRETCH
+        self.lists[long].append(ids)
+        self.sizes[long] += len(ids)
+        if self.sizes[long] >= CHUNK_TOKENS * (4 if long else 1):
+            self.flush(long)
+
+    def flush(self, long: bool) -> None:
+        if self.lists[long]:
+            self.action(np.concatenate(self.lists[long]), np.array([len(x) for x in self.lists[long]], dtype=np.int64))
+        self.lists[long], self.sizes[long] = [], 0
+
+    def end(self) -> None:
+        self.flush(False)
+        self.flush(True)
 
 
 class Model:
-    """Tables of fixed size: start, restart, moves, and emissions by symbol."""
+    """Tables of fixed size: start, moves, and emissions by symbol."""
 
-    def __init__(self, shares: np.ndarray, states: int, seed: int = 7):
-        rng = np.random.default_rng(seed)
+    def __init__(self, shares: np.ndarray, states: int, group: np.ndarray | None = None):
+        """Even tables, or emissions that lean to each symbol's group."""
         self.shares = shares / shares.sum()
         self.start = np.full(states, 1 / states)
-        self.again = self.start
-        self.move = np.full((states, states), 0.2 / max(states - 1, 1))
-        np.fill_diagonal(self.move, 0.8 if states > 1 else 1.0)
-        self.emit = self.shares[:, None] * rng.uniform(0.5, 1.5, (len(shares), states))
+        self.move = np.full((states, states), 0.5 / max(states - 1, 1))
+        np.fill_diagonal(self.move, 0.5 if states > 1 else 1.0)
+        lean = np.full((len(shares), states), 1 / states)
+        if group is not None and states > 1:
+            lean[:] = (1 - OWN) / (states - 1)
+            lean[np.arange(len(shares)), group] = OWN
+        self.emit = self.shares[:, None] * lean
         self.emit /= self.emit.sum(axis=0)
 
     def update(self, start: np.ndarray, move: np.ndarray, emit: np.ndarray) -> None:
         """The M step, with each state's emissions drawn to the overall shares."""
-        states = len(start)
-        self.start = (start + 1) / (start.sum() + states)
+        self.start = (start + 1) / (start.sum() + len(start))
         self.move = (move + 0.1) / (move + 0.1).sum(axis=1, keepdims=True)
-        load = emit.sum(axis=0)
-        self.again = (load + 1) / (load.sum() + states)
-        self.emit = (emit + PRIOR * self.shares[:, None]) / (load + PRIOR)
-
-    def expect(self, into: Expected, ids: list[np.ndarray]) -> None:
-        if ids:
-            into.add(*segments(ids), self.start, self.again, self.move, self.emit)
+        self.emit = (emit + PRIOR * self.shares[:, None]) / (emit.sum(axis=0) + PRIOR)
+
+
+def groups(near: np.ndarray, shares: np.ndarray, states: int, rounds: int = 25) -> np.ndarray:
+    """A group of each symbol by its neighbours' slots (k-means weighted by the
+    symbols' shares, on square roots of the slots' shares; begun from the
+    symbols that lie farthest apart)."""
+    rows = np.sqrt((near + near.sum(axis=0) / max(near.sum(), 1)) / (near.sum(axis=1, keepdims=True) + 1))
+    weight = shares / shares.sum()
+    heavy = np.argsort(-weight, kind="stable")[: 64 * states]
+    picked = [heavy[0]]
+    for _ in range(1, states):
+        far = ((rows[heavy, None, :] - rows[picked][None, :, :]) ** 2).sum(axis=2).min(axis=1)
+        picked.append(heavy[int((far * weight[heavy]).argmax())])
+    centre = rows[picked]
+    for _ in range(rounds):
+        own = ((rows**2).sum(axis=1)[:, None] - 2 * rows @ centre.T + (centre**2).sum(axis=1)).argmin(axis=1)
+        for k in range(states):
+            mass = weight[own == k]
+            if mass.sum() > 0:
+                centre[k] = mass @ rows[own == k] / mass.sum()
+    return own
 
 
 # ---- the distributed steps
@@ -272,50 +328,87 @@ def encode(docs: DataFrame, vocabulary: Vocabulary, id_col: str, text_col: str,
     return stage(read.mapInArrow(run, f"key long, id {kind_}, train boolean, ids binary, tail binary, n_tokens long, known long, logs double"), "lm-encoded", "zstd")
 
 
+def by_symbol(encoded: DataFrame, columns: int, table) -> DataFrame:  # noqa: ANN001
+    """(symbol, e0, e1, ...) of the tables that ``table`` makes of the texts of
+    each task, added up."""
+    names = ["symbol", *(f"e{k}" for k in range(columns))]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        ids, rows = table(np.frombuffer(raw.as_buffer(), dtype=np.int32) for batch in batches for raw in batch.column(0))
+        yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int32()), *(pa.array(rows[:, k].astype(np.float32)) for k in range(columns))], names)
+
+    rows = encoded.select("ids").mapInArrow(run, "symbol int, " + ", ".join(f"{c} float" for c in names[1:]))
+    return rows.groupBy("symbol").agg(*(F.sum(c).alias(c) for c in names[1:]))
+
+
+def neighbour_counts(encoded: DataFrame, symbols: int) -> DataFrame:
+    """How often each symbol has neighbours of each slot before and behind it.
+
+    A frequent symbol's slot follows from a mix of its number, so the most
+    frequent ones are spread over the slots.
+    """
+
+    def table(texts: Iterator[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+        near = np.zeros(symbols * 2 * SLOTS)
+        held, size = [], 0
+
+        def count() -> None:
+            flat = np.concatenate(held).astype(np.int64)
+            last = np.cumsum([len(x) for x in held])[:-1] - 1
+            slot = flat % SLOTS
+            pair = np.ones(len(flat) - 1, dtype=bool)
+            pair[last] = False  # the end of a text and the next one's begin
+            a, b = flat[:-1][pair], flat[1:][pair]
+            np.add(near, np.bincount(np.concatenate([b * 2 * SLOTS + slot[:-1][pair], a * 2 * SLOTS + SLOTS + slot[1:][pair]]), minlength=len(near)), out=near)
+
+        for x in texts:
+            held.append(x)
+            size += len(x)
+            if size >= 4 * CHUNK_TOKENS:
+                count()
+                held, size = [], 0
+        if held:
+            count()
+        rows = near.reshape(symbols, -1)
+        used = np.flatnonzero(rows.any(axis=1))
+        return used, rows[used]
+
+    return by_symbol(encoded, 2 * SLOTS, table)
+
+
 def expected_counts(encoded: DataFrame, model: Model) -> DataFrame:
     """(symbol, e0, e1, ...) added up over all rows; symbol -1 holds the
     starts, -2 and below the moves from each state."""
     states, symbols = len(model.start), len(model.shares)
-    names = ["symbol", *(f"e{k}" for k in range(states))]
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def table(texts: Iterator[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
         total = Expected(states, symbols)
-        held, size = [], 0
-        for batch in batches:
-            for raw in batch.column(0):
-                held.append(np.frombuffer(raw.as_buffer(), dtype=np.int32))
-                size += len(held[-1])
-                if size >= CHUNK_TOKENS:
-                    model.expect(total, held)
-                    held, size = [], 0
-        model.expect(total, held)
-        if total.tokens:
-            used = np.flatnonzero(total.emit.sum(axis=1) > 0)
-            table = np.vstack([total.start, total.move, total.emit[used]])
-            ids = np.concatenate([[-1], -2 - np.arange(states), used])
-            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int32()), *(pa.array(table[:, k].astype(np.float32)) for k in range(states))], names)
+        held = Held(lambda flat, lens: total.add(flat, lens, model.start, model.move, model.emit))
+        for x in texts:
+            held.put(x)
+        held.end()
+        used = np.flatnonzero(total.emit.sum(axis=1) > 0)
+        return np.concatenate([[-1], -2 - np.arange(states), used]), np.vstack([total.start, total.move, total.emit[used]])
 
-    rows = encoded.select("ids").mapInArrow(run, "symbol int, " + ", ".join(f"{c} float" for c in names[1:]))
-    return rows.groupBy("symbol").agg(*(F.sum(c).alias(c) for c in names[1:]))
+    return by_symbol(encoded, states, table)
 
 
-def train(encoded: DataFrame, shares: np.ndarray, n_texts: int, states: int, iterations: int, sample_texts: int, sample_words: int, sample_iterations: int) -> Model:
-    model = Model(shares, states)
+def gathered(counts: DataFrame, label: str) -> np.ndarray:
+    """A table by symbol on the driver: symbols by columns, a fixed size."""
+    return stage(counts, label).toPandas().to_numpy(dtype=np.float64)
+
+
+def train(encoded: DataFrame, shares: np.ndarray, states: int, iterations: int) -> Model:
     learn = encoded.filter("train")
-    # a hash keeps about twice the sample, so each task sends its share of it only
-    share = max(1, n_texts // (2 * sample_texts))
-    few = learn.filter(F.pmod(F.xxhash64("key"), F.lit(share)) == 0).orderBy(F.xxhash64("key"), "key").limit(sample_texts).select(F.substring("ids", 1, 4 * sample_words).alias("ids")).collect()
-    first = [np.frombuffer(r["ids"], dtype=np.int32) for r in few]
-    if not first:
-        return model
-    for _ in range(sample_iterations):
-        total = Expected(states, len(shares))
-        for k in range(0, len(first), 200):
-            model.expect(total, first[k : k + 200])
-        model.update(total.start, total.move, total.emit)
+    found = gathered(neighbour_counts(learn, len(shares)), "lm-neighbours")
+    if not len(found):
+        return Model(shares, states)
+    near = np.zeros((len(shares), 2 * SLOTS))
+    near[found[:, 0].astype(np.int64)] = found[:, 1:]
+    model = Model(shares, states, groups(near, shares, states))
     for _ in range(iterations):
         start, move, emit = np.zeros(states), np.zeros((states, states)), np.zeros((len(shares), states))
-        table = stage(expected_counts(learn, model), "lm-expected").toPandas().to_numpy(dtype=np.float64)  # symbols by states: a fixed size
+        table = gathered(expected_counts(learn, model), "lm-expected")
         ids = table[:, 0].astype(np.int64)
         start[:] = table[ids == -1, 1:].sum(axis=0)
         move[-2 - ids[ids < -1]] = table[ids < -1, 1:]
@@ -325,7 +418,7 @@ def train(encoded: DataFrame, shares: np.ndarray, n_texts: int, states: int, ite
 
 
 def score_texts(
-    docs: DataFrame, held_out: int = 2, mod: int = 7, states: int = 8, top_words: int = 65536, tail_classes: int = 4096, iterations: int = 3, sample_texts: int = 1000, sample_words: int = 1000, sample_iterations: int = 12, id_col: str = "doc_id", text_col: str = "text"
+    docs: DataFrame, held_out: int = 2, mod: int = 7, states: int = 8, top_words: int = 65536, tail_classes: int = 4096, iterations: int = 4, id_col: str = "doc_id", text_col: str = "text"
 ) -> DataFrame:
     """One row per row of ``docs``: id, held_out, n_tokens, n_known,
     train_tokens, base_score, score (log10).
@@ -340,13 +433,15 @@ def score_texts(
     counts = stage(count_words(docs, id_col, text_col, train_row), "lm-counts")
     vocabulary = Vocabulary(counts, top_words, tail_classes)
     encoded = encode(docs, vocabulary, id_col, text_col, train_row)
-    model = train(encoded, vocabulary.shares, vocabulary.ends, states, iterations, sample_texts, sample_words, sample_iterations)
+    model = train(encoded, vocabulary.shares, states, iterations)
+
+    kept = ["key", "id", "train", "n_tokens", "known", "logs"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            ids = [np.frombuffer(raw.as_buffer(), dtype=np.int32) for raw in batch.column(1)]
+            ids = [np.frombuffer(raw.as_buffer(), dtype=np.int32) for raw in batch.column("ids")]
             log = forward(np.concatenate(ids), np.array([len(x) for x in ids], dtype=np.int64), model.start, model.move, model.emit) / np.log(10) if ids else []
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(log, pa.float64())], ["key", "hmm"])
+            yield batch.select(kept).append_column("hmm", pa.array(log, pa.float64()))
 
     # the words behind the classes, joined by word: exact counts, no table to broadcast
     mass = [(k, float(np.log10(n)), float(np.log10(vocabulary.discount * v))) for k, (n, v) in enumerate(zip(vocabulary.mass.tolist(), vocabulary.kinds.tolist())) if n]
@@ -356,9 +451,10 @@ def score_texts(
     found = tail.join(vocabulary.tail.select("word", "c"), "word", "left").withColumn("class", vocabulary.class_of(F.col("word"))).join(classes, "class", "left")
     share = F.when(F.col("c").isNotNull(), F.log10(F.col("c") - F.lit(vocabulary.discount)) - F.col("log_mass")).otherwise(F.coalesce(F.col("log_unknown") - F.col("log_mass"), F.lit(0.0)))
     rare = found.groupBy("key").agg(F.count("c").alias("rare_known"), F.sum(F.log10(F.coalesce("c", F.lit(0)) + 1.0)).alias("rare_logs"), F.sum(share).alias("rare_share"))
-    exact = encoded.select("key", "ids").mapInArrow(run, "key long, hmm double")
+    id_kind = docs.schema[id_col].dataType.simpleString()
+    exact = encoded.select(*kept, "ids").mapInArrow(run, f"key long, id {id_kind}, train boolean, n_tokens long, known long, logs double, hmm double")
     total, size = vocabulary.tokens, float(np.log10(vocabulary.tokens + vocabulary.types + 1))
-    rows = encoded.select("key", "id", "train", "n_tokens", "known", "logs").join(exact, "key").join(rare, "key", "left")
+    rows = exact.join(rare, "key", "left")
     zero = F.lit(0.0)
     return rows.select(
         F.col("id").alias(id_col),
