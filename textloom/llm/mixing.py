@@ -19,12 +19,17 @@ from fractions import Fraction
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import shuffle_width, stage
+from .common import narrow, shuffle_width, stage
 
-NO_SOURCE = "\\N"
+#: Sources are carried as their name behind a mark, a null one as this.
+NO_SOURCE = "-"
+
+
+def source_key(name: str | None) -> str:
+    return NO_SOURCE if name is None else "=" + name
 
 
 def quanta(weights: dict[str, float], period: int) -> dict[str, int]:
@@ -96,15 +101,19 @@ def plan(weights: dict[str, float], blocks: dict[str, int], period: int) -> list
 
 
 def positions(docs: DataFrame, id_col: str, source_col: str, text_col: str) -> DataFrame:
-    """Staged: source, id, hash, size, and the bytes before it in its source.
-
-    Documents are in the order of a hash of their id.  They are dealt out by
-    ranges of (source, hash), so a source that holds most rows is spread over
-    many tasks; each task keeps running sums, and the tasks' totals (a row for
-    each task and source in it) are summed up into offsets.
+    """Staged: source (its key), id, hash, size, and the bytes before it in its
+    source.
+
+    Documents are in the order of a hash of id, source and text, so rows that
+    repeat an id or have none lie apart.  They are dealt out by ranges of
+    (source, hash), so a source that holds most rows is spread over many
+    tasks; each task keeps running sums, and the tasks' totals (a row for each
+    task and source in it) are summed up into offsets.
     """
     spark = docs.sparkSession
-    sized = docs.select(F.coalesce(F.col(source_col).cast("string"), F.lit(NO_SOURCE)).alias("source"), F.col(id_col).alias("id"), F.xxhash64(id_col).alias("hash"), (F.coalesce(F.octet_length(text_col), F.lit(0)) + 1).cast("long").alias("size"))
+    name = F.col(source_col).cast("string")
+    key = F.when(name.isNull(), F.lit(NO_SOURCE)).otherwise(F.concat(F.lit("="), name))
+    sized = docs.select(key.alias("source"), F.col(id_col).alias("id"), row_hash(id_col, source_col, text_col).alias("hash"), (F.coalesce(F.octet_length(text_col), F.lit(0)) + 1).cast("long").alias("size"))
     sized = stage(sized, "mix-sizes")
     kind = docs.schema[id_col].dataType.simpleString()
 
@@ -119,38 +128,27 @@ def positions(docs: DataFrame, id_col: str, source_col: str, text_col: str) -> D
                 total += size
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(before, pa.int64()), pa.array([part] * len(before), pa.int32())], ["source", "id", "hash", "size", "before", "part"])
 
-    dealt = sized.repartitionByRange(shuffle_width(spark), "source", "hash", "id").sortWithinPartitions("source", "hash", "id")
+    dealt = sized.repartitionByRange(shuffle_width(spark), "source", "hash", "id").sortWithinPartitions("source", "hash", "id", "size")
     local = stage(dealt.mapInArrow(run, f"source string, id {kind}, hash long, size long, before long, part int"), "mix-sums")
-    base, running = [], {}
-    for row in local.groupBy("source", "part").agg(F.sum("size").alias("total")).orderBy("source", "part").collect():  # tasks and sources
-        base.append((row["source"], row["part"], running.get(row["source"], 0)))
-        running[row["source"]] = running.get(row["source"], 0) + row["total"]
-    offsets = spark.createDataFrame(base, "source string, part int, base long")
-    offsets = F.broadcast(offsets) if len(base) <= 100_000 else offsets
-    return local.join(offsets, ["source", "part"]).select("source", "id", "hash", "size", (F.col("base") + F.col("before")).alias("before"))
+    so_far = Window.partitionBy("source").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    totals = local.groupBy("source", "part").agg(F.sum("size").alias("total"))
+    offsets = stage(totals.select("source", "part", F.coalesce(F.sum("total").over(so_far), F.lit(0)).alias("base")), "mix-offsets")
+    return local.join(narrow(offsets, 100_000), ["source", "part"]).select("source", "id", "hash", "size", (F.col("base") + F.col("before")).alias("before"))
 
 
-def mix(docs: DataFrame, weights: dict[str, float] | None = None, power: float = 0.5, block_bytes: int = 1 << 18, period: int = 1000, id_col: str = "doc_id", source_col: str = "source", text_col: str = "text") -> DataFrame:
-    """The schedule: id, source, size, before, block, phase, release, deadline, slot.
+def row_hash(id_col: str, source_col: str, text_col: str) -> Column:
+    return F.xxhash64(F.col(id_col), F.col(source_col).cast("string"), F.col(text_col), F.lit(1))
 
-    ``weights`` are target shares of the bytes by source (unnamed sources come
-    after the named ones have ended); without them a source's share is its
-    size to the ``power``.  A document's block is that in which its first byte
-    lies, so a longer document uses up the blocks it runs over.  Reading by
-    (slot, before) gives the mix.
 
-    A null source is a source of its own; a null text has one byte (its end,
-    which every document has); null ids and repeated rows stay; an empty table
-    gives none; extra columns are not read.
-    """
+def _slots(docs: DataFrame, weights: dict[str | None, float] | None, power: float, block_bytes: int, period: int, id_col: str, source_col: str, text_col: str) -> DataFrame | None:
+    """The schedule with the rows' hashes and sources' keys; None without rows."""
     spark = docs.sparkSession
     placed = positions(docs, id_col, source_col, text_col).withColumn("block", F.floor(F.col("before") / block_bytes))
-    kind = docs.schema[id_col].dataType.simpleString()
     sources = placed.groupBy("source").agg(F.sum("size").alias("bytes")).collect()  # a row a source
     if not sources:
-        return spark.createDataFrame([], f"{id_col} {kind}, source string, size long, before long, block long, phase int, release long, deadline long, slot long")
+        return None
     blocks = {r["source"]: -(-r["bytes"] // block_bytes) for r in sources}
-    share = weights if weights is not None else {r["source"]: float(r["bytes"]) ** power for r in sources}
+    share = {source_key(s): w for s, w in weights.items()} if weights is not None else {r["source"]: float(r["bytes"]) ** power for r in sources}
     period = max(period, 2 * len(blocks))
     rows = [(p["source"], p["phase"], p["first"], p["next"], p["quanta"], p["start"], p["slots"]) for p in plan(share, blocks, period)]
     # a row for each source and phase, at most `period` slots in a phase
@@ -160,15 +158,46 @@ def mix(docs: DataFrame, weights: dict[str, float] | None = None, power: float =
     k = F.col("block") - F.col("first")
     due = F.col("start") + F.expr(f"((block - first + 1) * {period} + quanta - 1) div quanta")
     slot = F.col("start") + F.expr(f"((block - first) div quanta) * {period}") + F.get("slots", F.pmod(k, F.col("quanta")).cast("int"))
-    return hit.select(F.col("id").alias(id_col), F.when(F.col("source") != NO_SOURCE, F.col("source")).alias("source"), "size", "before", "block", "phase", (F.col("start") + F.expr(f"((block - first) * {period}) div quanta")).alias("release"), due.alias("deadline"), slot.alias("slot"))
+    release = F.col("start") + F.expr(f"((block - first) * {period}) div quanta")
+    return hit.select("id", "hash", "source", "size", "before", "block", "phase", release.alias("release"), due.alias("deadline"), slot.alias("slot"))
+
 
+def mix(docs: DataFrame, weights: dict[str | None, float] | None = None, power: float = 0.5, block_bytes: int = 1 << 18, period: int = 1000, id_col: str = "doc_id", source_col: str = "source", text_col: str = "text") -> DataFrame:
+    """The schedule: id, source, size, before, block, phase, release, deadline, slot.
 
-def mixed(docs: DataFrame, weights: dict[str, float] | None = None, power: float = 0.5, block_bytes: int = 1 << 18, period: int = 1000, id_col: str = "doc_id", source_col: str = "source", text_col: str = "text") -> DataFrame:
+    ``weights`` are target shares of the bytes by source (unnamed sources come
+    after the named ones have ended); without them a source's share is its
+    size to the ``power``.  A document's block is that in which its first byte
+    lies, so a longer document uses up the blocks it runs over.  Reading by
+    (slot, before) gives the mix.
+
+    A null source is a source of its own, apart from any name; a null text has
+    one byte (its end, which every document has); null ids and repeated rows
+    stay, each in its own place; an empty table gives none; extra columns are
+    not read.
+    """
+    kind = docs.schema[id_col].dataType.simpleString()
+    found = _slots(docs, weights, power, block_bytes, period, id_col, source_col, text_col)
+    if found is None:
+        return docs.sparkSession.createDataFrame([], f"`{id_col}` {kind}, source string, size long, before long, block long, phase int, release long, deadline long, slot long")
+    name = F.when(F.col("source") != NO_SOURCE, F.substring("source", 2, 1 << 30))
+    return found.select(F.col("id").alias(id_col), name.alias("source"), "size", "before", "block", "phase", "release", "deadline", "slot")
+
+
+def mixed(docs: DataFrame, weights: dict[str | None, float] | None = None, power: float = 0.5, block_bytes: int = 1 << 18, period: int = 1000, id_col: str = "doc_id", source_col: str = "source", text_col: str = "text") -> DataFrame:
     """``docs`` in the order of the mix: its partitions, one after another,
-    hold the rows by slot.  All rows and columns stay; rows that repeat an id
-    lie in the slot of the first."""
-    order = mix(docs, weights, power, block_bytes, period, id_col, source_col, text_col).groupBy(F.col(id_col).alias("_mix_id")).agg(F.min(F.struct("slot", "before")).alias("_mix_at"))
-    names = docs.columns
-    joined = docs.join(order, F.col(id_col).eqNullSafe(F.col("_mix_id")), "left")
-    at = [F.col("_mix_at.slot"), F.col("_mix_at.before")]
-    return joined.repartitionByRange(shuffle_width(docs.sparkSession), *at).sortWithinPartitions(*at).select(*names)
+    hold the rows by slot.
+
+    All rows and columns stay, whatever the columns' names.  Nulls, empty
+    texts and empty tables are as in ``mix``; rows with the same id, source and
+    text lie in the place of the first of them.  The places (a few numbers a
+    row) are broadcast while they are few, so the texts are shuffled once.
+    """
+    found = _slots(docs, weights, power, block_bytes, period, id_col, source_col, text_col)
+    if found is None:
+        return docs
+    places = stage(found.groupBy("hash").agg(F.min(F.struct("slot", "before")).alias("at")).select("hash", "at.slot", "at.before"), "mix-places")
+    rows = docs.select(row_hash(id_col, source_col, text_col).alias("hash"), F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"))
+    at = ["slot", "before"]
+    joined = rows.join(narrow(places), "hash", "left").select("row", *at)
+    return joined.repartitionByRange(shuffle_width(docs.sparkSession), *at).sortWithinPartitions(*at).select("row.*")
