@@ -21,10 +21,10 @@ import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.errors import AnalysisException
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import stage
+from .common import narrow, stage
 
 SEPARATOR = 1
 #: What both tokenizer libraries split alike for certain: printable Latin text
@@ -77,7 +77,8 @@ def _ordered(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """id, text and the place in the files read, where the input is files."""
     base = [F.col(id_col).alias("id"), F.coalesce(text_col, F.lit("")).alias("text")]
     try:
-        return docs.select(*base, F.col("_metadata.file_path").alias("file"), F.col("_metadata.row_index").alias("row"))
+        place = docs.metadataColumn("_metadata")  # not a column of that name
+        return docs.select(*base, place["file_path"].alias("file"), place["row_index"].alias("row"))
     except AnalysisException:
         return docs.select(*base, F.lit("").alias("file"), F.lit(None).cast("long").alias("row"))
 
@@ -137,18 +138,13 @@ def pack(docs: DataFrame, json_path: str, ranks_path: str | None = None, window:
     row), or else by partition and row.  All sequences but the last are full,
     so padding is below one window in all.  A null text is empty and has the
     separator only; null ids stay; repeated rows are packed each; an empty
-    table gives no rows; extra columns are not read.
+    table gives no rows; extra columns are not read, whatever their names.
     """
-    spark = docs.sparkSession
     ids = tokenised(docs, json_path, ranks_path, id_col, text_col)
-    totals = ids.groupBy("file", "start").agg(F.sum("n").alias("total")).collect()  # one row a scan segment
-    begin, base = 0, []
-    for row in sorted(totals, key=lambda r: (r["file"], r["start"])):
-        base.append((row["file"], row["start"], begin))
-        begin += row["total"]
-    offsets = spark.createDataFrame(base, "file string, start long, base long")
-    if len(base) <= 100_000:  # a few MB at most; beyond, Spark picks the join
-        offsets = F.broadcast(offsets)
+    totals = ids.groupBy("file", "start").agg(F.sum("n").alias("total"))  # one row a scan segment
+    before = Window.orderBy("file", "start").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = stage(totals.select("file", "start", F.coalesce(F.sum("total").over(before), F.lit(0)).alias("base")), "pack-offsets")
+    offsets = narrow(offsets, 100_000)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
