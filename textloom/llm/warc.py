@@ -20,12 +20,14 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import fresh_path, stage
+from .common import MOST_BROADCAST, fresh_path, stage
 
 VERSION = b"WARC/1.1"
 DATE = "2024-01-01T00:00:00Z"
 REVISIT_PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 CHUNK_BYTES = 4096
+#: Tasks over which the pages of one digest are spread.
+SALTS = 32
 
 
 # ---- framing of one record
@@ -154,15 +156,23 @@ def whole(segments: list[tuple[int, int | None, bytes]]) -> bytes:
 def decide(pages: DataFrame, least_bytes: int, page_col: str, url_col: str, html_col: str) -> DataFrame:
     """page_id, url, payload, digest, revisit, refers_to of each page.
 
-    Groups of equal payloads are found on narrow keys with a partial maximum,
-    so a payload that a third of the pages share costs no more than others;
-    the payloads themselves are shuffled by page once.
+    Groups of equal payloads are found on narrow keys with a partial maximum.
+    The digests that several pages share (a row each) are broadcast while they
+    are few, so no payload is shuffled; beyond, they are joined with salt, so a
+    payload that a third of the pages share is spread over ``SALTS`` tasks.
     """
     base = pages.select(F.col(page_col).alias("page_id"), F.col(url_col).alias("url"), F.encode(F.coalesce(html_col, F.lit("")), "UTF-8").alias("payload")).withColumn("digest", F.sha1("payload"))
-    keys = base.filter(F.length("payload") >= least_bytes).select("page_id", "digest")
-    lead = keys.groupBy("digest").agg(F.max("page_id").alias("lead"), F.count(F.lit(1)).alias("n")).filter("n > 1").drop("n")
-    again = keys.join(lead, "digest").filter("not (page_id <=> lead)").distinct().select(F.col("page_id").alias("p"), F.col("digest").alias("d"), "lead")
-    return base.join(again, F.col("page_id").eqNullSafe(F.col("p")) & (F.col("digest") == F.col("d")), "left").select("page_id", "url", "payload", "digest", F.col("d").isNotNull().alias("revisit"), F.col("lead").alias("refers_to"))
+    long = F.length("payload") >= least_bytes
+    lead = base.filter(long).groupBy("digest").agg(F.max("page_id").alias("lead"), F.count(F.lit(1)).alias("n")).filter("n > 1 and lead is not null")
+    lead = stage(lead.select(F.col("digest").alias("d"), "lead"), "warc-leads")
+    if lead.count() <= MOST_BROADCAST:
+        joined = base.join(F.broadcast(lead), (F.col("digest") == F.col("d")) & long, "left")
+    else:
+        salt = F.pmod(F.xxhash64("page_id", "url"), F.lit(SALTS))
+        spread = lead.withColumn("s", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+        joined = base.join(spread, (F.col("digest") == F.col("d")) & (salt == F.col("s")) & long, "left")
+    again = F.col("lead").isNotNull() & ~F.col("page_id").eqNullSafe(F.col("lead"))
+    return joined.select("page_id", "url", "payload", "digest", again.alias("revisit"), F.when(again, F.col("lead")).alias("refers_to"))
 
 
 def write_archives(pages: DataFrame, path: str, least_bytes: int = 1000, segment_bytes: int = 8192, records_per_file: int = 2048, page_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> None:
@@ -205,7 +215,8 @@ def _number(fields: dict[str, str], name: str) -> int | None:
 
 
 def read_archives(spark: SparkSession, path: str) -> DataFrame:
-    """One row per page record: page_id, record_type, payload_bytes,
+    """One row per page record of all archives under ``path``, gzipped (a
+    member a record or a file) or plain: page_id, record_type, payload_bytes,
     payload_digest, refers_to, error.
 
     Records of one piece are decoded where they are read; only the blocks of
@@ -248,7 +259,7 @@ def read_archives(spark: SparkSession, path: str) -> DataFrame:
             cols = list(zip(*rows)) or [()] * 6
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, kinds)], [x.split()[0] for x in _READ.split(", ")])
 
-    files = spark.read.format("binaryFile").option("pathGlobFilter", "part-*").load(path).select("content")
+    files = spark.read.format("binaryFile").load(path).select("content")
     parts = files.mapInArrow(parse, _PARSED)
     fields = F.struct("number", "total", "page_id", "kind", "refers_to", "digest", "size", "error", "block")
     return parts.groupBy("origin").agg(F.collect_list(fields).alias("parts")).select("parts").mapInArrow(join, _READ)
