@@ -15,6 +15,7 @@ import re
 import unicodedata
 from bisect import bisect_right
 from collections.abc import Iterator
+from itertools import repeat
 
 import pandas as pd
 import pyarrow as pa
@@ -103,20 +104,49 @@ LOOKALIKES = {
 }
 _ODD = re.compile("[" + "".join(map(re.escape, LOOKALIKES)) + "①-⑳！-～\U0001d400-\U0001d7ff]")
 
-#: Digits as they are spelled.
-SPELLED = {"zero": "0", "oh": "0", "one": "1", "two": "2", "three": "3", "four": "4", "five": "5", "six": "6", "seven": "7", "eight": "8", "nine": "9"}
-_NUMBER = "(?:" + "|".join(SPELLED) + "|plus|[0-9])"
-_SPELLED_RUN = re.compile(rf"(?i)(?<![^\W_])(?:plus|{'|'.join(SPELLED)})(?:(?:[ ,-]{{1,2}}|[ ]?(?:dot|point)[ ]|\.)(?:{_NUMBER}))+(?![^\W_])")
-_SPELLED_PART = re.compile(rf"(?i)({'|'.join(SPELLED)}|plus)|([0-9])|([ ]?(?:dot|point)[ ]|\.)|([ ,-]+)")
-_SPELLED_HINT = ("zero", "two", "three", "four", "five", "six", "seven", "eight", "nine")
+#: Digits as they are spelled in English, Spanish, German and French.
+SPELLED = {
+    "zero": "0", "oh": "0", "one": "1", "two": "2", "three": "3", "four": "4", "five": "5", "six": "6", "seven": "7", "eight": "8", "nine": "9",
+    "cero": "0", "uno": "1", "dos": "2", "tres": "3", "cuatro": "4", "cinco": "5", "seis": "6", "siete": "7", "ocho": "8", "nueve": "9",
+    "null": "0", "eins": "1", "zwei": "2", "zwo": "2", "drei": "3", "vier": "4", "fünf": "5", "fuenf": "5", "sechs": "6", "sieben": "7", "acht": "8", "neun": "9",
+    "zéro": "0", "un": "1", "deux": "2", "trois": "3", "quatre": "4", "cinq": "5", "sept": "7", "huit": "8", "neuf": "9",
+}
+#: How a plus sign, a dot and an at sign are spelled in them.
+_PLUS, _DOT_WORD, _AT_WORD = "plus|más", "dot|point|punto|punkt", "at|ät|arroba|arobase|klammeraffe"
+_AT_ONLY = ("arroba", "arobase", "klammeraffe")
+_DIGITS = "|".join(sorted(SPELLED, key=len, reverse=True))
+_NUMBER = f"(?:{_DIGITS}|{_PLUS}|[0-9])"
+_SPELLED_RUN = re.compile(rf"(?i)(?<![^\W_])(?:{_PLUS}|{_DIGITS})(?:(?:[ ,-]{{1,2}}|[ ]?(?:{_DOT_WORD})[ ]|\.)(?:{_NUMBER}))+(?![^\W_])")
+_SPELLED_PART = re.compile(rf"(?i)({_DIGITS}|{_PLUS})|([0-9])|([ ]?(?:{_DOT_WORD})[ ]|\.)|([ ,-]+)")
+#: A run has four spelled digits, with signs at most between them.
+_FOUR = re.compile("d(?:s*d){3}")
+_KINDS = dict.fromkeys(SPELLED, "d") | dict.fromkeys(f"{_PLUS}|{_DOT_WORD}".split("|"), "s")
+
+
+def may_spell(low: str) -> bool:
+    """Whether four spelled digits follow each other among the words."""
+    for c in ",-.()[]{}<>\"':;!?+/_*|=#&%~":
+        low = low.replace(c, " ")
+    words = low.split()
+    return not _KINDS.keys().isdisjoint(words) and _FOUR.search("".join(map(_KINDS.get, words, repeat(" ")))) is not None
+
 
 _OPEN, _CLOSE = r"[\[({<]", r"[\])}>]"
-_AT = rf"(?:[ ]?{_OPEN}[ ]?(?:at|@)[ ]?{_CLOSE}[ ]?|[ ]at[ ]|[ ]?@[ ]?)"
-_DOT = rf"(?:[ ]?{_OPEN}[ ]?(?:dot|\.)[ ]?{_CLOSE}[ ]?|[ ](?:dot|punkt|punto|point)[ ]|\.)"
-_NAME, _LABEL = r"[A-Za-z0-9_%+-]{1,64}", r"[A-Za-z0-9-]{1,63}"
+_AT_SIGN, _DOT_SIGN = r"(?:@|&\#0*64;|&\#x0*40;|&commat;)", r"(?:\.|&\#0*46;|&\#x0*2e;|&period;)"
+_AT = rf"(?:[ ]?{_OPEN}[ ]?(?:{_AT_WORD}|a[ ]t|{_AT_SIGN})[ ]?{_CLOSE}[ ]?|[ ](?:{_AT_WORD})[ ]|_(?:{_AT_WORD})_|[ ]?{_AT_SIGN}[ ]?)"
+_DOT = rf"(?:[ ]?{_OPEN}[ ]?(?:{_DOT_WORD}|d[ ]o[ ]t|{_DOT_SIGN})[ ]?{_CLOSE}[ ]?|[ ](?:{_DOT_WORD})[ ]|_(?:{_DOT_WORD})_|{_DOT_SIGN})"
+# Underscores within a name end where a spelled sign between two of them begins.
+_NAME, _LABEL = rf"(?:(?!_(?:{_AT_WORD}|{_DOT_WORD})_)[A-Za-z0-9_%+-]){{1,64}}", r"[A-Za-z0-9-]{1,63}"
 _MAIL = re.compile(rf"(?i)(?<![A-Za-z0-9_%+-])({_NAME}(?:{_DOT}{_NAME}){{0,6}}+)({_AT})({_LABEL}(?:{_DOT}{_LABEL}){{1,6}})")
 _DOTS = re.compile(rf"(?i){_DOT}")
-_MAIL_HINT = re.compile(rf"(?i){_OPEN}[ ]?(?:at|dot|@|\.)[ ]?{_CLOSE}|[ ](?:dot|punkt|punto|point)[ ]|[ ]@|@[ ]")
+_MAIL_HINT = re.compile(rf"(?i){_OPEN}[ ]?(?:{_AT_WORD}|{_DOT_WORD}|@|\.|a[ ]t|d[ ]o[ ]t)[ ]?{_CLOSE}|[ ](?:{_DOT_WORD})[ ]|_(?:{_AT_WORD})_|[ ](?:{'|'.join(_AT_ONLY)})[ ]|[ ]@|@[ ]|&(?:\#0*64|\#x0*40|commat);")
+
+_MAIL_SIGNS = "[({<_@&"
+_MAIL_WORDS = tuple(f" {w} " for w in (*_DOT_WORD.split("|"), *_AT_ONLY))
+
+
+def may_hide_mail(text: str, low: str) -> bool:
+    return (any(c in text for c in _MAIL_SIGNS) or any(w in low for w in _MAIL_WORDS)) and _MAIL_HINT.search(text) is not None
 
 
 class Rewrite:
@@ -166,19 +196,23 @@ def spelled_digits(text: str) -> list[tuple[int, int, str]]:
         if sum(bool(m[1]) for m in parts) < 4:
             continue
         for m in parts:
-            out.append((m.start(), m.end(), "+" if m[0].lower() == "plus" else SPELLED[m[1].lower()] if m[1] else m[2] or ("." if m[3] else "")))
+            out.append((m.start(), m.end(), SPELLED.get(m[1].lower(), "+") if m[1] else m[2] or ("." if m[3] else "")))
     return out
 
 
 def at_and_dot(text: str) -> list[tuple[int, int, str]]:
-    """``at`` as a bare word counts only where a dot is disguised as well."""
+    """A bare ``at``, or a sign between blanks, counts only where a dot is
+    disguised as well; words that mean nothing else count by themselves."""
     out = []
     for m in _MAIL.finditer(text):
         dots = [(d.start(), d.end()) for g in (1, 3) for d in _DOTS.finditer(text, *m.span(g))]
         hidden = any(b - a > 1 for a, b in dots)
-        bare = m[2].strip().lower() == "at"
-        if m[2] == "@" and not hidden or bare and not hidden or m[2].strip() == "@" and m[2] != "@" and not hidden:
+        shown = m[2].strip()
+        bare = m[2] != "@" and (shown == "@" or re.fullmatch(_AT_WORD, shown, re.I))
+        if not hidden and (m[2] == "@" or bare and shown.lower() not in _AT_ONLY):
             continue
+        if shown.lower() == "at" and m[2] != "at" and all(text[a:b].strip().lower() in ("point", ".") for a, b in dots):
+            continue  # "look at that point in time"
         if not re.search(r"[A-Za-z]{2,24}$", m[3]):
             continue
         out += sorted([(*m.span(2), "@"), *((a, b, ".") for a, b in dots)])
@@ -189,11 +223,11 @@ def disguised(text: str, base: dict[str, list[Span]]) -> list[tuple[str, int, in
     """What only the rewritten text shows, in the source's code points."""
     odd = not text.isascii() and _ODD.search(text)
     low = text.lower()
-    spelled = any(w in low for w in _SPELLED_HINT) and _SPELLED_RUN.search(text)
-    if not (odd or spelled or _MAIL_HINT.search(text)):
+    spelled = may_spell(low) or odd and may_spell(Rewrite(text, plain_letters(text)).text.lower())
+    if not (odd or spelled or may_hide_mail(text, low)):
         return []
     steps: list[Rewrite] = []
-    for rule in (plain_letters, spelled_digits, at_and_dot):
+    for rule in (plain_letters, *([spelled_digits] if spelled else []), at_and_dot):
         now = steps[-1].text if steps else text
         if edits := rule(now):
             steps.append(Rewrite(now, edits))
