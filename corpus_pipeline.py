@@ -7,13 +7,14 @@ mixing       the rows are written in the order of the source mix
 packing      texts are tokenised, laid end to end in that order, and cut
 
 Each stage takes (spark, docs, sf_dir) and gives a DataFrame; all but the last
-return the columns of their input.
+return the columns of their input.  Their input may have any further columns,
+whatever their names.
 """
 
 from __future__ import annotations
 
 import public_tokenizers
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from textloom.llm import mixing, ngram_join, packing, pii, toxicity
@@ -24,37 +25,60 @@ TOXIC_AT = 0.7
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Rows whose text scores below the threshold."""
+    """Rows whose text scores below the threshold.
+
+    Each row is judged by its whole text alone: null and empty texts have no
+    evidence and stay, repeated rows and rows without an id are judged like
+    any other, equal texts alike; an empty table gives none.
+    """
     ship(spark)
     scorer = toxicity.fit(docs, table(spark, sf_dir, "labels"))
-    return toxicity.score_texts(docs, scorer).filter(F.col("toxicity") < TOXIC_AT).select(*docs.columns)
+    return docs.filter(toxicity.score_column(scorer) < TOXIC_AT)
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The row with the smallest id of each group; of rows that repeat an id
-    one stays.  Rows without an id are kept."""
+    """One row of each group of similar texts.
+
+    It is the one with the smallest id (rows without an id come last; of rows
+    that repeat an id, the one with the smaller hash of its text).  Of rows
+    with the same id and the same text one stays.  Texts without a word are
+    similar to nothing, so each stays; an empty table gives none.
+    """
     ship(spark)
-    found = ngram_join.join_similar(docs)
-    kept = found.filter("doc_id = component_id").select(F.col("doc_id").alias("_kept")).distinct()
-    once = Window.partitionBy("_kept").orderBy(F.length("text"), F.xxhash64("text"))
-    named = docs.join(kept, F.col("doc_id") == F.col("_kept")).withColumn("_n", F.row_number().over(once)).filter("_n = 1")
-    return named.select(*docs.columns).unionByName(docs.filter("doc_id is null"))
+    key = F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id").alias("id"), F.xxhash64("text").alias("text"))
+    found = ngram_join.join_similar(docs.select(key.alias("key"), "text"), id_col="key")
+    kept = found.filter("key = component_id").select("key").distinct()
+    rows = docs.select(key.alias("key"), F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"))
+    return rows.join(kept, "key").groupBy("key").agg(F.first("row").alias("row")).select("row.*")
 
 
 def redact_pii(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All rows, with personal data replaced by its kind."""
+    """All rows, with personal data replaced by its kind.
+
+    Whole texts; null texts stay null, empty and repeated ones stay as they
+    are; ``n_chars`` follows the text; an empty table gives none.
+    """
     ship(spark)
     return pii.redact_texts(docs)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All rows, in the order of the source mix."""
+    """All rows, in the order of the source mix.
+
+    A null source is one of its own, a null text has no length; rows without
+    an id and repeated rows stay; an empty table gives none.
+    """
     ship(spark)
     return mixing.mixed(docs)
 
 
 def pack_tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """A row for each piece of a packed sequence."""
+    """A row for each piece of a packed sequence.
+
+    Documents follow each other as they were written.  A null or empty text is
+    its separator alone; rows without an id and repeated rows are packed each;
+    an empty table gives no pieces.
+    """
     ship(spark)
     return packing.pack(docs, public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("byte_bpe_50k.tiktoken"))
 
@@ -67,8 +91,8 @@ STAGES = [
     ("packing", pack_tokens),
 ]
 
-#: Decoding, learned models and tokenising have no SQL form; tests/llm compares
-#: the stages with brute-force versions.
+#: Decoding, learned models and tokenising have no SQL form; tests/llm/test_pipeline.py
+#: compares each stage with a brute-force version.
 ORACLE_SQL = None
 
 
