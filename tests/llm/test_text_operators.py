@@ -8,6 +8,7 @@ import re
 import zlib
 
 import public_tokenizers
+import pyarrow.parquet as pq
 import pytest
 import sentencepiece
 from tokenizers import Tokenizer
@@ -55,6 +56,26 @@ def test_ids_equal_the_library():
         assert ids.ids(text) == ids.exact.encode(text, add_special_tokens=False).ids, repr(text)
 
 
+def test_both_libraries_agree_on_the_whole_table():
+    """The shorter way is taken only where it gives the library's ids."""
+    texts = pq.read_table("/root/testdata/sf0.1/documents.parquet", columns=["text"]).column(0).to_pylist()
+    ids = packing.ids_for(JSON, RANKS)
+    sure = [t for t in texts if t and ids.sure(t)]
+    assert len(sure) > len(texts) / 2
+    for k in range(0, len(sure), 500):
+        for text, found in zip(sure[k : k + 500], ids.exact.encode_batch(sure[k : k + 500], add_special_tokens=False)):
+            assert ids.fast.encode_ordinary(text) == found.ids
+
+
+def test_packing_with_a_column_named_like_the_files(spark, tmp_path):
+    rows = [(i, "same text", ("f", 3)) for i in range(4)]
+    table = spark.createDataFrame(rows, "doc_id long, text string, _metadata struct<file_path: string, row_index: long>")
+    table.coalesce(1).write.parquet(str(tmp_path / "d"))
+    for df in (table, spark.read.parquet(str(tmp_path / "d"))):
+        got = packing.pack(df, JSON, RANKS, 2048).collect()
+        assert len({(r["sequence_id"], r["offset"]) for r in got}) == 4
+
+
 @pytest.mark.parametrize("window", [7, 2048])
 def test_packing_loses_nothing(spark, window):
     library = Tokenizer.from_file(JSON)
@@ -96,6 +117,25 @@ def test_plain_spans_equal_the_patterns():
         assert pii.ips(text) == [m.span() for m in IP.finditer(text) if all(int(p) <= 255 for p in m[0].split("."))]
 
 
+CARD, PHONE = re.compile(r"[0-9]([\x20-]?[0-9])+"), re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
+
+
+def doubled(digits: str) -> int:
+    """The check sum of a card number, from its definition."""
+    return sum(sum(divmod(int(d) * (2 if k % 2 else 1), 10)) for k, d in enumerate(digits[::-1])) % 10
+
+
+def test_cards_and_phones_equal_the_patterns():
+    digits = lambda t: re.sub("[^0-9]", "", t)
+    seen = 0
+    for text in [*texts_like("0123456789" * 3 + " -+x", 20000, 40), *texts_like("0123456789 -+(). x", 20000, 40)]:
+        cards = [m.span() for m in CARD.finditer(text) if 13 <= len(digits(m[0])) <= 19 and doubled(digits(m[0])) == 0]
+        seen += len(cards)
+        assert pii.cards(text) == cards
+        assert pii.phones(text) == [m.span() for m in PHONE.finditer(text) if 9 <= len(digits(m[0])) <= 15]
+    assert seen > 100
+
+
 @pytest.mark.parametrize(
     ("text", "kind", "shown"),
     [
@@ -105,6 +145,16 @@ def test_plain_spans_equal_the_patterns():
         ("call plus one five five five one two three four five six seven", "phone", "plus one five five five one two three four five six seven"),
         ("ip one nine two dot one six eight dot one dot two five", "ip", "one nine two dot one six eight dot one dot two five"),
         ("４１１１ １１１１ １１１１ １１１１", "card", "４１１１ １１１１ １１１１ １１１１"),
+        ("escribe a juan arroba ejemplo punto es ya", "email", "juan arroba ejemplo punto es"),
+        ("escribe a juan arroba ejemplo.es ya", "email", "juan arroba ejemplo.es"),
+        ("an max.muster (ät) beispiel punkt de bitte", "email", "max.muster (ät) beispiel punkt de"),
+        ("to jane [a t] example [d o t] org", "email", "jane [a t] example [d o t] org"),
+        ("to jane_doe_at_example_dot_org", "email", "jane_doe_at_example_dot_org"),
+        ("to jane&#64;example&#46;org or", "email", "jane&#64;example&#46;org"),
+        ("to jane&commat;example.org or", "email", "jane&commat;example.org"),
+        ("llame al más cinco cinco cinco uno dos tres cuatro cinco seis siete", "phone", "más cinco cinco cinco uno dos tres cuatro cinco seis siete"),
+        ("unter plus vier neun drei null eins zwei drei vier fünf sechs", "phone", "plus vier neun drei null eins zwei drei vier fünf sechs"),
+        ("au plus trois trois un deux trois quatre cinq six sept huit", "phone", "plus trois trois un deux trois quatre cinq six sept huit"),
         ("emoji 😀 j​ane@example.org", "email", "j​ane@example.org"),
     ],
 )
@@ -115,14 +165,14 @@ def test_disguised_spans_map_back(text, kind, shown):
     assert shown not in pii.redact(text)
 
 
-@pytest.mark.parametrize("text", ["meet at example.com today", "five or six of them at two dots", "read one two three", "a.b.c.d 1.2.3", "4111 1111 1111 1112", "", "@", "+", "1.2.3.999"])
+@pytest.mark.parametrize("text", ["meet at example.com today", "five or six of them at two dots", "read one two three", "a.b.c.d 1.2.3", "4111 1111 1111 1112", "", "@", "+", "1.2.3.999", "uno dos tres", "eins zwei drei", "look at that point in time", "un deux trois un deux", "zwei punkt eins"])
 def test_clean_texts_stay(text):
     base, more = pii.find(text)
     assert not more and not any(base.values()) and pii.redact(text) == text
 
 
 def test_long_texts_take_linear_time():
-    for text in ("a" * 300000 + "@", "1" * 300000, "one " * 50000, "a dot " * 50000, "a@" * 100000, "x [at] " * 30000, "1." * 100000):
+    for text in ("a" * 300000 + "@", "1" * 300000, "one " * 50000, "a dot " * 50000, "a@" * 100000, "x [at] " * 30000, "1." * 100000, "_at_" * 50000, "a_" * 100000 + "@", "uno dos " * 40000, "&#64;" * 50000, "a punto " * 50000):
         pii.find(text)
 
 
@@ -162,29 +212,42 @@ def scorer():
     return toxicity.learn(rows)
 
 
-@pytest.mark.parametrize("word", ["idiot", "1d10t", "i d i o t", "IDIOOOOT", "m.o.r.o.n", "st*pid", "tr@sh!!", "$tupid"])
+@pytest.mark.parametrize("word", ["idiot", "1d10t", "i d i o t", "IDIOOOOT", "m.o.r.o.n", "st*pid", "tr@sh!!", "$tupid", "id io t", "t r @ s h", "iddiott", "m..........o..........r..........o..........n", "st**id", "m o-r 0 n"])
 def test_disguises_are_seen(scorer, word):
     assert scorer.score(f"the on {word} er an {word} he") >= 0.7
 
 
-@pytest.mark.parametrize("text", ["", "the on er an he", "on%%% he&&& the###", "call 10.0.0.1 or 4111", "token b44e15e09fd3", "a b c d e f"])
+@pytest.mark.parametrize("text", ["", "the on er an he", "on%%% he&&& the###", "call 10.0.0.1 or 4111", "token b44e15e09fd3", "a b c d e f", "is it on or in an of", "hee**hee an the"])
 def test_clean_texts_score_low(scorer, text):
     assert scorer.score(text) < 0.3
 
 
 def test_decode_equals_brute_force(scorer):
     model = scorer.model
-    for word in ("1d1ot", "m0r*n", "tra$h", "heeee"):
+    for word in ("1d1ot", "m0r*n", "tra$h", "heeee", "m**on", "id io t", "moor* n", "s**p 1d", "é**ñ", "aa b"):
         places = toxicity.lattice(word)
         best = None
         paths = [("", 0.0)]
         for choices in places:
             paths = [(t + c, s + cost) for t, s in paths for c, cost in choices]
         for text, cost in paths:
-            padded = "^^" + text + "$"
-            total = cost + sum(model.log(padded[k - 2], padded[k - 1], padded[k]) for k in range(2, len(padded)))
+            parts = ["^^" + part + "$" for part in text.split(" ")]
+            total = cost + sum(model.log(p[k - 2], p[k - 1], p[k]) for p in parts for k in range(2, len(p)))
             best = max(best or (total, text), (total, text))
         assert toxicity.decode(word, model) == best[1]
+        assert model.dense(places) == best[1]
+
+
+def test_long_disguises_decode_like_short_ones(scorer, monkeypatch):
+    monkeypatch.setattr(toxicity, "STRETCH", 4)
+    for word in ("m" + "*" * 9 + "n", "i*d**i o*t" * 2):
+        places = toxicity.lattice(word)
+        small = scorer.model.dense(places)
+        monkeypatch.setattr(toxicity, "STRETCH", 1000)
+        assert scorer.model.dense(places) == small
+        monkeypatch.setattr(toxicity, "STRETCH", 4)
+    for word in ("1d" * 20000, "a" + "-" * 50000 + "b", "a " * 30000, "x*" * 2000, "a" + "*" * 2000):
+        scorer.score(word)
 
 
 def test_toxicity_odd_rows(spark):
@@ -194,6 +257,10 @@ def test_toxicity_odd_rows(spark):
         assert len(out) == len(rows)
         assert all(0 <= r["score"] <= 1 and r["predicted"] == int(r["score"] >= 0.7) for r in out)
         assert all(r["held_out"] == (r["doc_id"] is not None and zlib.crc32(str(r["doc_id"]).encode()) % 3 == 1) for r in out)
+    kept = toxicity.training_rows(docs(spark, [*ODD, (7, "another text", "a")]), labels, 1, 3, 10, 10, 20, "doc_id", "text", "toxic")
+    assert len(kept) <= 8 and sum(len((t or "").encode()) for t, _ in kept) <= 20  # a repeated id counts once
+    named = docs(spark, ODD).withColumn("toxicity", toxicity.score_column(toxicity.learn([])))
+    assert named.count() == len(ODD)
     empty = spark.createDataFrame([], "doc_id long, toxic int")
     assert toxicity.toxicity(docs(spark, ODD), empty).filter("predicted = 0").count() == len(ODD)
 
