@@ -117,7 +117,12 @@ def test_index_tables(spark, tmp_path):
     for _ in range(2):
         records.write_index(rows, str(tmp_path / "ix"), "documents-m")
     back = spark.read.parquet(str(tmp_path / "ix"))
-    assert [tuple(r) for r in records.index_stats(back, "index_name", "namespace").collect()] == [("documents-m", "__default__", 2)]
+    assert [tuple(r) for r in records.index_stats(back, "index_name", "namespace").collect()] == [("documents-m", "__default__", 1)]
+    more = spark.createDataFrame([("1", "new"), ("2", "u")], rows.schema)
+    records.write_index(more, str(tmp_path / "ix"), "documents-m")
+    records.write_index(rows, str(tmp_path / "ix"), "documents-n")
+    back = spark.read.parquet(str(tmp_path / "ix"))
+    assert sorted(map(tuple, back.collect())) == [("1", "new", "documents-m", "__default__"), ("1", "t", "documents-n", "__default__"), ("2", "u", "documents-m", "__default__")]
     assert pages.ensure_index(spark, "made_now", str(tmp_path / "t"), "id string").count() == 0
     assert pages.ensure_index(spark, "made_now", str(tmp_path / "t"), "id string").columns == ["id"]
     spark.sql("drop table made_now")
@@ -216,3 +221,76 @@ def test_page_sources(spark, tmp_path):
     assert whole["b.txt"] == "one\ntwo\n"
     spark.dataSource.register(pages.PagesSource)
     assert spark.read.format("pages").option("suffix", ".txt").load(str(tmp_path)).filter("status = 'success'").count() == 2
+
+
+def test_strict_log_refuses_blank_lines(spark, tmp_path):
+    (tmp_path / "log.json").write_text('{"query": "q", "chunk_id": "1", "feedback": 1}\n\n')
+    with pytest.raises(Exception, match="blank line"):
+        feedback_log.read_feedback(spark, str(tmp_path / "log.json")).collect()
+
+
+def test_lookup_without_a_hit_keeps_the_result(spark):
+    results = spark.createDataFrame([(1, 1, 0.5), (1, 4, 0.25)], "query_id int, ordinal int, rerank_score double")
+    hits = spark.createDataFrame([(1, 1, "a", 0.9)], "query_id int, ordinal int, id string, score double")
+    got = sorted(map(tuple, rerank.rerank_lookup(results, hits).collect()))
+    assert got == [(1, 1, 0.5, "a", 0.9), (1, 4, 0.25, "3", 0.25)]
+
+
+def test_queries_are_stripped_of_all_blanks(spark):
+    raw = spark.createDataFrame([(1, "\thi\u00a0\n", "7\t", "", None), (2, "\t\n ", "5", "", None)], "query_id int, q string, k string, dense_model string, reranker_model string")
+    got = retrieval.query_params(raw).collect()
+    assert [(r["q"], r["k"]) for r in got] == [("hi", 7)]
+    corpus = spark.createDataFrame([("a", "x y")], "id string, chunk_text string")
+    assert retrieval.hybrid_search(spark.createDataFrame([(1, "\t\n")], "query_id int, q string"), corpus).count() == 0
+
+
+def test_trim_takes_what_python_strips(spark):
+    from textloom.functions.text import trim_ws
+
+    blanks = [c for c in map(chr, range(0x10000)) if not 0xD800 <= ord(c) < 0xE000 and c.isspace()]
+    texts = [c + "a" + c + "b" + c for c in blanks] + ["", " ", "\u200ba"]
+    df = spark.createDataFrame([(t,) for t in texts], "t string").select("t", trim_ws("t").alias("s"))
+    assert all(r["s"] == r["t"].strip() for r in df.collect())
+
+
+def test_dense_topk_equals_brute_force(spark):
+    import numpy as np
+
+    rng = np.random.default_rng(5)
+    x, q = rng.standard_normal((90, 6)), rng.standard_normal((11, 6))
+    x[40:60] = x[40]
+    corpus = spark.createDataFrame([(f"d{i:02}", v.tolist()) for i, v in enumerate(x)] + [("none", None)], "id string, vector array<float>")
+    queries = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(q)], "query_id int, vector array<double>")
+    got = sorted(map(tuple, retrieval.dense_topk(queries, corpus, 7, block=16, query_block=4).collect()))
+    want = []
+    for i, v in enumerate(q):
+        scores = [(round(float(v @ w.astype(np.float32).astype(float)), 6), f"d{d:02}") for d, w in enumerate(x)]
+        want += [(i, r, d, s) for r, (s, d) in enumerate(sorted(scores, key=lambda z: (-z[0], z[1]))[:7], 1)]
+    assert [g[:3] for g in got] == [w[:3] for w in want] and [g[3] for g in got] == pytest.approx([w[3] for w in want])
+
+
+def test_sparse_topk_by_weights_equals_by_joins(spark, monkeypatch):
+    corpus = spark.createDataFrame([(i, " ".join(f"t{(i * k) % 13}" for k in range(1, i % 9 + 1)) or None) for i in range(60)], "id int, chunk_text string")
+    queries = spark.createDataFrame([(1, "t1 t2 t3"), (2, "T5, t5; t7"), (3, "none of it")], "query_id int, q string")
+    small = sorted(map(tuple, retrieval.sparse_topk(queries, corpus, 8).collect()))
+    monkeypatch.setattr(retrieval, "MOST_BROADCAST", 1)
+    assert small and small == sorted(map(tuple, retrieval.sparse_topk(queries, corpus, 8).collect()))
+
+
+def test_registered_embedder_is_used(spark):
+    import numpy as np
+
+    from textloom.operators import embedding
+
+    embedding.register_embedder("length", lambda: lambda texts: np.array([[len(t), 1.0] for t in texts]))
+    corpus = spark.createDataFrame([("a", "xx"), ("b", "xxxx")], "id string, chunk_text string")
+    got = retrieval.embedded_topk(spark.createDataFrame([(1, "y")], "query_id int, q string"), corpus, 2, model="length").orderBy("rank").collect()
+    assert [(r["id"], r["score"]) for r in got] == [("b", 5.0), ("a", 3.0)]
+
+
+def test_trailing_rate_over_stretches(spark, monkeypatch):
+    points = spark.range(500).select(F.timestamp_seconds(F.col("id") * 3).alias("ts"), (F.col("id") % 2).alias("kind"), F.lit(1.0).alias("value"), F.lit("x").alias("part"))
+    monkeypatch.setattr(metrics, "STRETCH", 100000)
+    want = sorted(map(str, metrics.trailing_rate(points, 30, "kind").collect()))
+    monkeypatch.setattr(metrics, "STRETCH", 2)
+    assert sorted(map(str, metrics.trailing_rate(points, 30, "kind").collect())) == want and len(want) == 500

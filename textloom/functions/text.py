@@ -9,7 +9,8 @@ from pyspark.sql import functions as F
 #: group and shortest fragment, in characters.
 PARAGRAPH_MIN, GROUP_TARGET, FRAGMENT_MIN = 80, 600, 20
 
-_EDGES = r"(?U)^[\s\x1c-\x1f]+|[\s\x1c-\x1f]+$"
+#: All blanks that count at the ends of a text, by code point.
+BLANKS = "".join(map(chr, (*range(0x09, 0x0E), *range(0x1C, 0x21), 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000)))
 
 
 def _col(c: Column | str) -> Column:
@@ -18,7 +19,7 @@ def _col(c: Column | str) -> Column:
 
 def trim_ws(c: Column | str) -> Column:
     """Strip all Unicode blanks, not only spaces."""
-    return F.regexp_replace(_col(c), _EDGES, "")
+    return F.btrim(_col(c), F.lit(BLANKS))
 
 
 def collapse_blanks(c: Column | str) -> Column:

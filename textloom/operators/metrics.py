@@ -37,6 +37,9 @@ HISTOGRAMS = (
     "retrieval_top_score",
 )
 
+#: Trailing ranges in a stretch of time that one task reads.
+STRETCH = 64
+
 POINT_SCHEMA = "ts timestamp, name string, kind string, value double, attrs map<string,string>"
 
 
@@ -48,10 +51,19 @@ def rate(points: DataFrame, seconds: int, *by: str, slide: int | None = None) ->
 
 
 def trailing_rate(points: DataFrame, seconds: int, *by: str) -> DataFrame:
-    """At each point, the increase per second of the trailing range."""
+    """At each point, the increase per second of the trailing range.
+
+    Points are dealt out by stretches of time, so a label's points do not meet
+    in one task; the last ``seconds`` of a stretch are lent to the next one.
+    """
+    long = STRETCH * seconds
     at = F.col("ts").cast("timestamp").cast("long")
-    w = Window.partitionBy(*by).orderBy("at").rangeBetween(-seconds + 1, 0)
-    return points.withColumn("at", at).withColumn("per_second", F.sum("value").over(w) / seconds)
+    rows = points.select(F.struct(*(F.col(f"`{c}`") for c in points.columns)).alias("row"), F.struct(F.lit(0).alias("all"), *by).alias("key"), "value", at.alias("at"))
+    own = F.floor(F.col("at") / long)
+    lent = F.when(F.pmod("at", F.lit(long)) >= long - seconds, F.array(own, own + 1)).otherwise(F.array(own))
+    rows = rows.withColumn("own", own).withColumn("part", F.explode(lent))
+    w = Window.partitionBy("key", "part").orderBy("at").rangeBetween(-seconds + 1, 0)
+    return rows.withColumn("per_second", F.sum("value").over(w) / seconds).filter("part = own").select("row.*", "at", "per_second")
 
 
 def ratio(numerator: Column, denominator: Column) -> Column:
@@ -72,12 +84,17 @@ def histogram(points: DataFrame, *by: str, value: str = "value", edges: tuple[fl
 def quantile(buckets: DataFrame, phi: float, *by: str) -> DataFrame:
     """by, quantile: linear within the first bucket that reaches phi; the last
     finite edge where that is the open one."""
+    return quantiles(buckets, [phi], *by).drop("phi")
+
+
+def quantiles(buckets: DataFrame, phis: list[float], *by: str) -> DataFrame:
+    """by, phi, quantile, from one pass over the buckets."""
     w = Window.partitionBy(*(by or [F.lit(0)])).orderBy("le")
     edge = buckets.withColumn("low", F.coalesce(F.lag("le").over(w), F.lit(0.0))).withColumn("before", F.coalesce(F.lag("cum").over(w), F.lit(0))).withColumn("total", F.max("cum").over(w.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)))
-    want = F.lit(phi) * F.col("total")
-    one = edge.filter((F.col("cum") >= want) & (F.col("before") < want))
+    want = F.col("phi") * F.col("total")
+    one = edge.withColumn("phi", F.explode(F.array(*map(F.lit, phis)))).filter((F.col("cum") >= want) & (F.col("before") < want))
     inside = F.col("low") + (F.col("le") - F.col("low")) * (want - F.col("before")) / (F.col("cum") - F.col("before"))
-    return one.select(*by, F.when(F.col("le") == float("inf"), F.col("low")).otherwise(inside).alias("quantile"))
+    return one.select(*by, "phi", F.when(F.col("le") == float("inf"), F.col("low")).otherwise(inside).alias("quantile"))
 
 
 def query_outcomes(queries: DataFrame, hits: DataFrame) -> DataFrame:

@@ -37,31 +37,48 @@ def sparse_records(chunks: DataFrame, key: tuple[str, ...]) -> DataFrame:
     return chunks.select(own.alias("id"), text.alias("chunk_text"), *rest).filter(F.col("chunk_text") != "")
 
 
-def sequential_ids(rows: DataFrame, *order: str) -> DataFrame:
-    """``id_1``, ``id_2``, ... in the given order.
+def _numbered(rows: DataFrame, by: list[str], order: list[str]) -> DataFrame:
+    """(row, number): each row's number in ``order`` within its ``by``, from 1.
 
-    Two passes over ranges of the order (each range's rows, then the sum of
-    the ranges before it), so no task sees all rows.
+    Two passes over ranges of (by, order): each range's rows, then the sum of
+    the ranges before it, so no task sees all rows of one key.
     """
     width = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    ranged = rows.repartitionByRange(width, *order).withColumn("_part", F.spark_partition_id())
-    own = Window.partitionBy("_part").orderBy(*order)
-    counts = ranged.groupBy("_part").agg(F.count(F.lit(1)).alias("_n"))  # a row a range
-    before = counts.withColumn("_before", F.coalesce(F.sum("_n").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
-    numbered = ranged.withColumn("_k", F.row_number().over(own)).join(F.broadcast(before.drop("_n")), "_part")
-    return numbered.select(F.concat(F.lit("id_"), F.col("_before") + F.col("_k")).alias("id"), *rows.columns)
+    keys = [F.col(f"row.{c}") for c in by]
+    ranged = rows.select(F.struct(*(F.col(f"`{c}`") for c in rows.columns)).alias("row")).repartitionByRange(width, *keys, *(F.col(f"row.{c}") for c in order))
+    ranged = ranged.select("row", F.spark_partition_id().alias("part"), F.struct(F.lit(0).alias("all"), *keys).alias("key"))
+    counts = ranged.groupBy("key", "part").agg(F.count(F.lit(1)).alias("n"))  # a row a range and key in it
+    so_far = Window.partitionBy("key").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    before = counts.select("key", "part", F.coalesce(F.sum("n").over(so_far), F.lit(0)).alias("before"))
+    own = Window.partitionBy("part", "key").orderBy(*(F.col(f"row.{c}") for c in order))
+    return ranged.withColumn("k", F.row_number().over(own)).join(before, ["key", "part"]).select("row", (F.col("before") + F.col("k")).alias("number"))
+
+
+def sequential_ids(rows: DataFrame, *order: str) -> DataFrame:
+    """``id_1``, ``id_2``, ... in the given order."""
+    return _numbered(rows, [], list(order)).select(F.concat(F.lit("id_"), "number").alias("id"), "row.*")
 
 
 def upsert_batches(records: DataFrame, by: str, order: str, size: int = BATCH) -> DataFrame:
     """The records with the number of their batch within ``by``."""
-    w = Window.partitionBy(by).orderBy(order)
-    return records.withColumn("batch", F.floor((F.row_number().over(w) - 1) / size).cast("long"))
+    return _numbered(records, [by], [order]).select("row.*", F.floor((F.col("number") - 1) / size).cast("long").alias("batch"))
 
 
 def write_index(records: DataFrame, path: str, index_name: str, namespace: str = "__default__") -> None:
-    """Append the records to an index table, one folder for each index and namespace."""
-    out = records.withColumn("index_name", F.lit(index_name)).withColumn("namespace", F.lit(namespace))
-    out.write.mode("append").partitionBy("index_name", "namespace").parquet(path)
+    """Write the records to an index table, one folder for each index and
+    namespace; a record replaces the one with the same id.
+
+    Of records that share an id one is written.  The folder is rewritten as a
+    whole and put in place when the write has ended.
+    """
+    spark = records.sparkSession
+    new = records.dropDuplicates(["id"])
+    own = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{path}/index_name={index_name}/namespace={namespace}")
+    if own.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(own):
+        old = spark.read.parquet(path).filter((F.col("index_name") == index_name) & (F.col("namespace") == namespace)).drop("index_name", "namespace")
+        new = old.join(new.select("id"), "id", "left_anti").unionByName(new, allowMissingColumns=True)
+    out = new.withColumn("index_name", F.lit(index_name)).withColumn("namespace", F.lit(namespace))
+    out.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("index_name", "namespace").parquet(path)
 
 
 def index_stats(records: DataFrame, *by: str) -> DataFrame:

@@ -8,7 +8,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from textloom.functions.text import terms, truncate
+from textloom.functions.text import terms, trim_ws, truncate
 
 #: Reranked rows, characters of a context and of a chunk in it.
 TOP_N, CONTEXT_CHARS, CHUNK_CHARS = 5, 8000, 500
@@ -51,10 +51,11 @@ def rerank(hits: DataFrame, score: Column, top_n: int = TOP_N, prior: str = "ran
 
 def rerank_lookup(results: DataFrame, hits: DataFrame) -> DataFrame:
     """Results (query_id, ordinal, rerank_score) with the hit at that ordinal,
-    where there is one."""
+    where there is one; a result without a hit has its own index (from 0) as id
+    and its rerank score as score."""
     right = hits.select(F.col("query_id").alias("q"), F.col("ordinal").alias("o"), "id", "score")
     joined = results.join(right, (F.col("query_id") == F.col("q")) & (F.col("ordinal") == F.col("o")), "left")
-    return joined.select("query_id", "ordinal", "rerank_score", F.coalesce("id", F.lit("")).alias("id"), F.coalesce("score", F.lit(0.0)).alias("score"))
+    return joined.select("query_id", "ordinal", "rerank_score", F.coalesce("id", (F.col("ordinal") - 1).cast("string")).alias("id"), F.coalesce("score", "rerank_score").alias("score"))
 
 
 def context_sections(hits: DataFrame, budget: int = CONTEXT_CHARS) -> DataFrame:
@@ -76,12 +77,12 @@ def build_context(hits: DataFrame, budget: int = CONTEXT_CHARS) -> DataFrame:
 
 def build_prompt(query: Column, context: Column) -> Column:
     intro = "Answer the question from the context alone. If the context does not hold the answer, say that it does not."
-    return F.concat(F.lit(f"{intro}\n\nQuestion: "), F.trim(query), F.lit("\n\nContext:\n"), F.trim(context), F.lit("\n\nAnswer:"))
+    return F.concat(F.lit(f"{intro}\n\nQuestion: "), trim_ws(query), F.lit("\n\nContext:\n"), trim_ws(context), F.lit("\n\nAnswer:"))
 
 
 def extractive_answer(context: Column) -> Column:
     """The first section of a context: the default instead of a model."""
-    return F.coalesce(F.trim(F.element_at(F.split(context, "\n--- Chunk [0-9]+ ---\n"), 2)), F.lit(""))
+    return F.coalesce(trim_ws(F.try_element_at(F.split(context, "\n--- Chunk [0-9]+ ---\n"), F.lit(2))), F.lit(""))
 
 
 #: A generator is given a batch of prompts and gives the answers.
@@ -94,7 +95,7 @@ def answer(contexts: DataFrame, generator: Generator | None = None) -> DataFrame
     A blank query is an error row.  Without a generator the answer is the
     first section of the context.
     """
-    blank = F.trim(F.coalesce("q", F.lit(""))) == ""
+    blank = trim_ws(F.coalesce("q", F.lit(""))) == ""
     if generator is None:
         made = extractive_answer(F.col("context"))
     else:

@@ -2,11 +2,17 @@
 
 from __future__ import annotations
 
+from collections import Counter
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from textloom.functions.metadata import unprefixed
-from textloom.functions.text import terms
+from textloom.functions.text import terms, trim_ws
+from textloom.operators.embedding import embed
 
 #: How many times k the dense channel fetches, and the default k.
 OVERFETCH, DEFAULT_K = 4, 5
@@ -14,7 +20,6 @@ OVERFETCH, DEFAULT_K = 4, 5
 MOST_BROADCAST = 4096
 #: Parameters of the term weighting.
 K1, B = 1.2, 0.75
-DIMENSIONS = 64
 
 
 def _small(queries: DataFrame) -> DataFrame:
@@ -29,24 +34,58 @@ def top_k(scored: DataFrame, k: int, query: str = "query_id", key: str = "id", s
     return scored.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k)
 
 
-def inner_product(a: Column, b: Column) -> Column:
-    return F.aggregate(F.zip_with(a, b, lambda x, y: x.cast("double") * y.cast("double")), F.lit(0.0), lambda s, x: s + x)
+def _best(score: np.ndarray, ids: pa.Array, k: int) -> list[int]:
+    """Places of the k best scores; ties to the smaller id."""
+    if len(score) > k:
+        least = np.partition(score, len(score) - k)[len(score) - k]
+        at = np.flatnonzero(score >= least)
+    else:
+        at = np.arange(len(score))
+    names = ids.take(pa.array(at)).to_pylist()
+    return [int(at[i]) for i in sorted(range(len(at)), key=lambda i: (-score[at[i]], names[i]))[:k]]
 
 
-def dense_topk(queries: DataFrame, corpus: DataFrame, k: int = DEFAULT_K * OVERFETCH) -> DataFrame:
-    """query_id, rank, id, score: exact inner products of (query_id, vector)
-    with (id, vector).  The stated query set meets every row; each task keeps
-    k rows for a query before the shuffle."""
-    pairs = corpus.select("id", "vector").join(_small(queries.select("query_id", F.col("vector").alias("q"))), how="cross")
-    scored = pairs.select("query_id", "id", F.round(inner_product(F.col("q"), F.col("vector")), 6).alias("score"))
-    return top_k(scored, k).select("query_id", "rank", "id", "score")
+def _rounded(x: np.ndarray) -> np.ndarray:
+    return np.floor(np.abs(x) * 1e6 + 0.5) / 1e6 * np.sign(x)
+
 
+def dense_topk(queries: DataFrame, corpus: DataFrame, k: int = DEFAULT_K * OVERFETCH, block: int = 4096, query_block: int = 256) -> DataFrame:
+    """query_id, rank, id, score: exact inner products of (query_id, vector)
+    with (id, vector).
 
-def postings(records: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """id, term, tf, dl: dl is counted in the row itself, before the explode."""
-    words = records.select(F.col(id_col).alias("id"), terms(text_col).alias("w"))
-    flat = words.select("id", F.size("w").cast("long").alias("dl"), F.explode("w").alias("term"))
-    return flat.groupBy("id", "term", "dl").agg(F.count(F.lit(1)).alias("tf"))
+    The stated query set meets every row, a block of rows with a block of
+    queries at a time as one matrix product; a block gives k rows for a query,
+    which are all that is shuffled.  Null vectors take no part.
+    """
+    kinds = [queries.schema["query_id"].dataType.simpleString(), corpus.schema["id"].dataType.simpleString()]
+
+    def packed(rows: DataFrame, key: str, size: int, names: list[str], kind: str) -> DataFrame:
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                for at in range(0, batch.num_rows, size):
+                    part = batch.slice(at, size)
+                    flat = part.column(1).flatten()
+                    yield pa.RecordBatch.from_arrays([pa.ListArray.from_arrays(pa.array([0, part.num_rows], pa.int32()), pa.concat_arrays([part.column(0)])), pa.ListArray.from_arrays(pa.array([0, len(flat)], pa.int32()), flat)], names)
+
+        vector = F.col("vector").cast("array<double>").alias("vector")
+        return rows.filter("vector is not null").select(key, vector).mapInArrow(run, f"{names[0]} array<{kind}>, {names[1]} array<double>")
+
+    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i in range(batch.num_rows):
+                ids, x, q_ids, q = (batch.column(c)[i].values for c in range(4))
+                score = _rounded(q.to_numpy().reshape(len(q_ids), -1) @ x.to_numpy().reshape(len(ids), -1).T)
+                rows, at = [], []
+                for j in range(len(q_ids)):
+                    best = _best(score[j], ids, k)
+                    rows += [j] * len(best)
+                    at += best
+                yield pa.RecordBatch.from_arrays([q_ids.take(pa.array(rows, pa.int64())), ids.take(pa.array(at, pa.int64())), pa.array(score[rows, at])], ["query_id", "id", "score"])
+
+    asked = packed(queries, "query_id", query_block, ["q_ids", "q"], kinds[0])
+    pairs = packed(corpus, "id", block, ["ids", "x"], kinds[1]).join(_small(asked), how="cross")
+    found = pairs.select("ids", "x", "q_ids", "q").mapInArrow(scan, f"query_id {kinds[0]}, id {kinds[1]}, score double")
+    return top_k(found, k).select("query_id", "rank", "id", "score")
 
 
 def query_terms(queries: DataFrame, text_col: str = "q") -> DataFrame:
@@ -56,47 +95,85 @@ def query_terms(queries: DataFrame, text_col: str = "q") -> DataFrame:
 def sparse_topk(queries: DataFrame, records: DataFrame, k: int = DEFAULT_K, id_col: str = "id", text_col: str = "chunk_text", where: Column | None = None) -> DataFrame:
     """query_id, rank, id, score: BM25 of (query_id, q) over the records.
 
-    Only the queries' terms leave the scan: rows whose term no query has are
-    dropped before anything is counted.  ``where`` restricts the records.
+    Two scans.  The first counts in how many records each query term is; the
+    second scores each record against all queries where it is read, so only k
+    rows a query leave a batch.  ``where`` restricts the records.  Up to
+    ``MOST_BROADCAST`` queries go by their terms' weights, sent to the tasks;
+    more go as joins by term.
     """
     rows = records if where is None else records.filter(where)
     wanted = query_terms(queries)
-    words = rows.select(F.col(id_col).alias("id"), terms(text_col).alias("w")).select("id", F.size("w").cast("long").alias("dl"), "w")
-    size = words.filter("dl > 0").agg(F.count(F.lit(1)).alias("n"), F.avg("dl").alias("avgdl"))  # one row
-    vocabulary = _small(wanted.select("term").distinct())
-    flat = words.select("id", "dl", F.explode("w").alias("term")).join(vocabulary, "term", "left_semi")
-    tf = flat.groupBy("id", "term", "dl").agg(F.count(F.lit(1)).alias("tf"))
-    df = tf.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
-    weights = wanted.join(df, "term").join(F.broadcast(size))
-    idf = F.log(1 + (F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5))
-    part = F.col("idf") * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("dl") / F.col("avgdl")))
-    weighted = weights.select("query_id", "term", "avgdl", idf.alias("idf"))
-    scored = tf.join(weighted, "term").groupBy("query_id", "id").agg(F.round(F.sum(part), 6).alias("score"))
-    return top_k(scored, k).select("query_id", "rank", "id", "score")
-
-
-def hash_weights(rows: DataFrame, key: str, text_col: str) -> DataFrame:
-    """(key, slot, weight): term counts hashed to a fixed number of slots, unit length."""
-    slot = F.pmod(F.conv(F.substring(F.md5("term"), 1, 6), 16, 10).cast("long"), F.lit(DIMENSIONS))
-    flat = rows.select(key, F.explode(terms(text_col)).alias("term")).groupBy(key, slot.alias("slot")).agg(F.count(F.lit(1)).alias("n"))
-    unit = F.sqrt(F.sum(F.col("n") * F.col("n")).over(Window.partitionBy(key)).cast("double"))
-    return flat.select(key, "slot", (F.col("n") / unit).alias("weight"))
-
-
-def hashed_topk(queries: DataFrame, records: DataFrame, k: int, id_col: str = "id", text_col: str = "chunk_text") -> DataFrame:
-    """Dense channel with the default hashing embedder, as an equi-join on slots."""
-    q = hash_weights(queries, "query_id", "q").withColumnRenamed("weight", "q_weight")
-    d = hash_weights(records.withColumnRenamed(id_col, "id"), "id", text_col)
-    scored = d.join(_small(q), "slot").groupBy("query_id", "id").agg(F.round(F.sum(F.col("weight") * F.col("q_weight")), 6).alias("score"))
-    return top_k(scored, k).select("query_id", "rank", "id", "score")
-
-
-def hybrid_search(queries: DataFrame, records: DataFrame, k: int = DEFAULT_K, id_col: str = "id", text_col: str = "chunk_text") -> DataFrame:
+    words = rows.select(F.col(id_col).alias("id"), terms(text_col).alias("w")).filter(F.size("w") > 0)
+    vocabulary = wanted.select("term").distinct()
+    few = queries.limit(MOST_BROADCAST + 1).count() <= MOST_BROADCAST
+    vocabulary = F.broadcast(vocabulary) if few else vocabulary
+    size = words.agg(F.count(F.lit(1)).alias("n"), F.avg(F.size("w")).alias("avgdl"))  # one row
+    flat = words.select("id", F.size("w").cast("long").alias("dl"), F.explode("w").alias("term")).join(vocabulary, "term", "left_semi")
+    if not few:
+        tf = flat.groupBy("id", "term", "dl").agg(F.count(F.lit(1)).alias("tf"))
+        df = tf.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
+        weighted = wanted.join(df, "term").join(F.broadcast(size)).select("query_id", "term", "avgdl", _idf().alias("idf"))
+        part = F.col("idf") * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("dl") / F.col("avgdl")))
+        scored = tf.join(weighted, "term").groupBy("query_id", "id").agg(F.round(F.sum(part), 6).alias("score"))
+        return top_k(scored, k).select("query_id", "rank", "id", "score")
+
+    once = words.select(F.explode(F.array_distinct("w")).alias("term")).join(vocabulary, "term", "left_semi")
+    df = once.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
+    weights = wanted.join(F.broadcast(df), "term").join(F.broadcast(size)).select("query_id", "term", "avgdl", _idf().alias("idf")).collect()  # the terms of a bounded number of queries
+    spark = records.sparkSession
+    kinds = [queries.schema["query_id"].dataType.simpleString(), records.schema[id_col].dataType.simpleString()]
+    schema = f"query_id {kinds[0]}, id {kinds[1]}, score double"
+    if not weights:
+        return top_k(spark.createDataFrame([], schema), k).select("query_id", "rank", "id", "score")
+    names = sorted({r["query_id"] for r in weights}, key=str)
+    number = {q: i for i, q in enumerate(names)}
+    by_term: dict[str, tuple[list[int], list[float]]] = {}
+    for r in weights:
+        at, idf = by_term.setdefault(r["term"], ([], []))
+        at.append(number[r["query_id"]])
+        idf.append(r["idf"])
+    table = {t: (np.array(at), np.array(idf)) for t, (at, idf) in by_term.items()}
+    avgdl, q_type = weights[0]["avgdl"], queries.select("query_id").limit(0).toArrow().schema.field(0).type
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        q_ids = pa.array(names, q_type)
+        for batch in batches:
+            score = np.zeros((batch.num_rows, len(names)))
+            ends, flat = batch.column(1).offsets.to_pylist(), batch.column(1).values
+            for d in range(batch.num_rows):
+                own = flat.slice(ends[d], ends[d + 1] - ends[d]).to_pylist()
+                scale, line = K1 * (1 - B + B * len(own) / avgdl), score[d]
+                for term, tf in Counter(own).items():
+                    if hit := table.get(term):
+                        line[hit[0]] += hit[1] * (tf * (K1 + 1) / (tf + scale))
+            rows, at = [], []
+            for j in range(len(names)):
+                found = np.flatnonzero(score[:, j])  # every term of a query that a record has counts for it
+                best = [int(found[i]) for i in _best(_rounded(score[found, j]), batch.column(0).take(pa.array(found)), k)]
+                rows += [j] * len(best)
+                at += best
+            yield pa.RecordBatch.from_arrays([q_ids.take(pa.array(rows, pa.int64())), batch.column(0).take(pa.array(at, pa.int64())), pa.array(_rounded(score[at, rows]))], ["query_id", "id", "score"])
+
+    return top_k(words.select("id", "w").mapInArrow(run, schema), k).select("query_id", "rank", "id", "score")
+
+
+def _idf() -> Column:
+    return F.log(1 + (F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5))
+
+
+def embedded_topk(queries: DataFrame, records: DataFrame, k: int, id_col: str = "id", text_col: str = "chunk_text", model: str | None = None) -> DataFrame:
+    """Dense channel over texts: both sides embedded by the named model where
+    they are read, then ``dense_topk``."""
+    asked = queries.select("query_id", embed(F.col("q"), model).alias("vector"))
+    return dense_topk(asked, records.select(F.col(id_col).alias("id"), embed(F.col(text_col), model).alias("vector")), k)
+
+
+def hybrid_search(queries: DataFrame, records: DataFrame, k: int = DEFAULT_K, id_col: str = "id", text_col: str = "chunk_text", model: str | None = None) -> DataFrame:
     """query_id, channel, channel_ord, rank, id, score: 4k dense hits, then k
     sparse ones; neither merged nor fused.  Blank queries give no rows."""
-    asked = queries.filter(F.trim(F.coalesce("q", F.lit(""))) != "")
+    asked = queries.filter(trim_ws(F.coalesce("q", F.lit(""))) != "")
     k = max(k, 1)
-    dense = hashed_topk(asked, records, OVERFETCH * k, id_col, text_col).select("query_id", F.lit("dense").alias("channel"), F.lit(0).alias("channel_ord"), "rank", "id", "score")
+    dense = embedded_topk(asked, records, OVERFETCH * k, id_col, text_col, model).select("query_id", F.lit("dense").alias("channel"), F.lit(0).alias("channel_ord"), "rank", "id", "score")
     sparse = sparse_topk(asked, records, k, id_col, text_col).select("query_id", F.lit("sparse").alias("channel"), F.lit(1).alias("channel_ord"), "rank", "id", "score")
     return dense.unionByName(sparse)
 
@@ -120,6 +197,6 @@ def query_params(raw: DataFrame) -> DataFrame:
     """query_id, q, k, dense_model, reranker_model with the defaults filled in."""
     from textloom.sources.catalogs import DEFAULT_DENSE, DEFAULT_RERANKER
 
-    k = F.greatest(F.coalesce(F.trim("k").try_cast("int"), F.lit(DEFAULT_K)), F.lit(1))
-    named = [F.coalesce(F.nullif(F.trim(c), F.lit("")), F.lit(d)).alias(c) for c, d in (("dense_model", DEFAULT_DENSE), ("reranker_model", DEFAULT_RERANKER))]
-    return raw.select("query_id", F.trim(F.coalesce("q", F.lit(""))).alias("q"), k.alias("k"), *named).filter("q <> ''")
+    k = F.greatest(F.coalesce(trim_ws("k").try_cast("int"), F.lit(DEFAULT_K)), F.lit(1))
+    named = [F.coalesce(F.nullif(trim_ws(c), F.lit("")), F.lit(d)).alias(c) for c, d in (("dense_model", DEFAULT_DENSE), ("reranker_model", DEFAULT_RERANKER))]
+    return raw.select("query_id", trim_ws(F.coalesce("q", F.lit(""))).alias("q"), k.alias("k"), *named).filter("q <> ''")

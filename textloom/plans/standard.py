@@ -267,15 +267,12 @@ def page_stats(spark: Spark, sf_dir: str) -> DataFrame:
 
 # ---- retrieval
 
-ASKED = 5
-
-
 def asked(spark: Spark, sf_dir: str) -> DataFrame:
-    """The stated query set: the first benchmark items' opening words."""
-    return read(spark, sf_dir, "benchmark").filter(F.col("item_id") < ASKED).select(F.col("item_id").alias("query_id"), F.substring("text", 1, 60).alias("q"))
+    """The stated query set: every benchmark item."""
+    return read(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), F.col("text").alias("q"))
 
 
-_ASKED = f"(select item_id as query_id, substring(text, 1, 60) as q from benchmark where item_id < {ASKED})"
+_ASKED = "(select item_id as query_id, text as q from benchmark)"
 _CUT = r"string_split_regex(lower({}), '[^\p{{L}}\p{{N}}]+')"
 
 
@@ -305,11 +302,11 @@ dense as (select query_id, rank, id, score from (select *, row_number() over (pa
 
 @register(
     "dense_topk",
-    "with q as (select vec_id as query_id, embedding as q from embeddings where vec_id < 5), s as (select query_id, vec_id as id, round(list_sum(list_transform(list_zip(q, embedding), lambda p: p[1]::double * p[2]::double)), 6) as score from q, embeddings), r as (select *, row_number() over (partition by query_id order by score desc, id)::int as rank from s) select query_id, rank, id, score from r where rank <= 20",
+    "with q as (select vec_id as query_id, embedding as q from embeddings where vec_id % 50 = 0), s as (select query_id, vec_id as id, round(list_sum(list_transform(list_zip(q, embedding), lambda p: p[1]::double * p[2]::double)), 6) as score from q, embeddings), r as (select *, row_number() over (partition by query_id order by score desc, id)::int as rank from s) select query_id, rank, id, score from r where rank <= 20",
 )
 def dense_topk(spark: Spark, sf_dir: str) -> DataFrame:
     e = read(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("id"), F.col("embedding").alias("vector"))
-    return retrieval.dense_topk(e.filter("id < 5").select(F.col("id").alias("query_id"), "vector"), e)
+    return retrieval.dense_topk(e.filter("id % 50 = 0").select(F.col("id").alias("query_id"), "vector"), e)
 
 
 @register("sparse_topk", f"with {bm25_cte()} select * from sparse where rank <= 10")
@@ -334,10 +331,9 @@ def hybrid_search(spark: Spark, sf_dir: str) -> DataFrame:
 
 
 def hits_with_text(spark: Spark, sf_dir: str) -> DataFrame:
-    """Hybrid hits with their text and query; few rows, so the texts are looked up by them."""
-    hits = hybrid_search(spark, sf_dir)
+    """Hybrid hits with their text and query."""
     text = docs(spark, sf_dir).select(F.col("doc_id").alias("id"), "text", "source")
-    return text.join(F.broadcast(hits), "id").join(F.broadcast(asked(spark, sf_dir)), "query_id")
+    return text.join(hybrid_search(spark, sf_dir), "id").join(asked(spark, sf_dir), "query_id")
 
 
 _LEX = f"round(len(list_intersect(list_distinct(list_filter({_CUT.format('q')}, lambda t: t <> '')), list_filter({_CUT.format('text')}, lambda t: t <> '')))::double / greatest(len(list_distinct(list_filter({_CUT.format('q')}, lambda t: t <> ''))), 1), 6)"
@@ -354,7 +350,7 @@ def rerank_topn(spark: Spark, sf_dir: str) -> DataFrame:
     return reranked(spark, sf_dir).select("query_id", "new_rank", "id", "score", "rerank_score")
 
 
-@register("rerank_lookup", f"{_HYBRID}, rs as (select query_id, (o + 1)::int as ordinal, round(1.0 / (o + 1), 6)::double as rerank_score from {_ASKED} a, unnest(range(0, 30, 3)) u(o)) select query_id, ordinal, rerank_score, coalesce(id::varchar, '') as id, coalesce(score, 0.0)::double as score from rs left join (select query_id as q2, rank, id, score from hy where channel = 'dense') h on q2 = query_id and rank = ordinal")
+@register("rerank_lookup", f"{_HYBRID}, rs as (select query_id, (o + 1)::int as ordinal, round(1.0 / (o + 1), 6)::double as rerank_score from {_ASKED} a, unnest(range(0, 30, 3)) u(o)) select query_id, ordinal, rerank_score, coalesce(id::varchar, (ordinal - 1)::varchar) as id, coalesce(score, rerank_score)::double as score from rs left join (select query_id as q2, rank, id, score from hy where channel = 'dense') h on q2 = query_id and rank = ordinal")
 def rerank_lookup(spark: Spark, sf_dir: str) -> DataFrame:
     results = asked(spark, sf_dir).select("query_id", F.explode(F.sequence(F.lit(1), F.lit(28), F.lit(3))).alias("ordinal")).withColumn("rerank_score", F.round(1 / F.col("ordinal"), 6))
     hits = hybrid_search(spark, sf_dir).filter("channel = 'dense'").select("query_id", F.col("rank").alias("ordinal"), F.col("id").cast("string").alias("id"), "score")
@@ -365,7 +361,7 @@ _CONTEXT = f"""{_RERANKED}, ch as (select query_id, 0 as channel_ord, new_rank a
 nu as (select *, row_number() over (partition by query_id order by channel_ord, rank) as ordinal from ch),
 se as (select query_id, ordinal, chr(10) || '--- Chunk ' || ordinal || ' ---' || chr(10) || case when length(text) <= 500 then text else substring(text, 1, 500) || '...' end as section from nu),
 cu as (select *, sum(length(section)) over (partition by query_id order by ordinal) as total from se),
-cx as (select query_id, string_agg(section, chr(10) order by ordinal) as context from cu where total <= 3000 group by 1)"""
+cx as (select query_id, string_agg(section, chr(10) order by ordinal) as context from cu where total <= 8000 group by 1)"""
 
 
 def contexts(spark: Spark, sf_dir: str) -> DataFrame:
@@ -376,7 +372,7 @@ def contexts(spark: Spark, sf_dir: str) -> DataFrame:
     w = Window.partitionBy("query_id", "channel_ord").orderBy(F.desc("rerank_score"), "rank")
     ranked = hits.withColumn("rerank_score", score).withColumn("new_rank", F.row_number().over(w))
     kept = ranked.filter(~dense | (F.col("new_rank") <= rerank.TOP_N))
-    return rerank.build_context(kept.select("query_id", "channel_ord", F.col("new_rank").alias("rank"), "text"), 3000)
+    return rerank.build_context(kept.select("query_id", "channel_ord", F.col("new_rank").alias("rank"), "text"))
 
 
 @register("context_build", f"{_CONTEXT} select query_id, context from cx")
@@ -384,18 +380,21 @@ def context_build(spark: Spark, sf_dir: str) -> DataFrame:
     return contexts(spark, sf_dir)
 
 
-_PROMPT = "'Answer the question from the context alone. If the context does not hold the answer, say that it does not.' || chr(10) || chr(10) || 'Question: ' || trim(q) || chr(10) || chr(10) || 'Context:' || chr(10) || trim(context) || chr(10) || chr(10) || 'Answer:'"
+_PROMPT = f"'Answer the question from the context alone. If the context does not hold the answer, say that it does not.' || chr(10) || chr(10) || 'Question: ' || {strip_sql('q')} || chr(10) || chr(10) || 'Context:' || chr(10) || {strip_sql('context')} || chr(10) || chr(10) || 'Answer:'"
 
 
 @register("prompt_build", f"{_CONTEXT} select query_id, {_PROMPT} as prompt from cx join {_ASKED} a using (query_id)")
 def prompt_build(spark: Spark, sf_dir: str) -> DataFrame:
-    return contexts(spark, sf_dir).join(F.broadcast(asked(spark, sf_dir)), "query_id").select("query_id", rerank.build_prompt(F.col("q"), F.col("context")).alias("prompt"))
+    return contexts(spark, sf_dir).join(asked(spark, sf_dir), "query_id").select("query_id", rerank.build_prompt(F.col("q"), F.col("context")).alias("prompt"))
+
+
+_FIRST = strip_sql(r"string_split_regex(context, '\n--- Chunk [0-9]+ ---\n')[2]")
 
 
-@register("rag_flagship", f"{_CONTEXT} select query_id, q, length(context)::int as context_chars, context, case when trim(q) = '' then null else trim(string_split_regex(context, '\\n--- Chunk [0-9]+ ---\\n')[2]) end as answer from cx join {_ASKED} a using (query_id)")
+@register("rag_flagship", f"{_CONTEXT} select query_id, q, length(context)::int as context_chars, context, case when {strip_sql('q')} = '' then null else {_FIRST} end as answer from cx join {_ASKED} a using (query_id)")
 def rag_flagship(spark: Spark, sf_dir: str) -> DataFrame:
-    found = contexts(spark, sf_dir).join(F.broadcast(asked(spark, sf_dir)), "query_id")
-    said = F.when(F.trim("q") != "", rerank.extractive_answer(F.col("context")))
+    found = contexts(spark, sf_dir).join(asked(spark, sf_dir), "query_id")
+    said = F.when(tx.trim_ws("q") != "", rerank.extractive_answer(F.col("context")))
     return found.select("query_id", "q", F.length("context").alias("context_chars"), "context", said.alias("answer"))
 
 
@@ -539,13 +538,13 @@ def error_ratio(spark: Spark, sf_dir: str) -> DataFrame:
     return e.agg(F.round(100 * metrics.ratio(F.count_if(F.col("event_type") == "error"), F.count(F.lit(1))), 6).alias("error_percent"))
 
 
-@register("query_outcomes", f"{_HYBRID} select q.query_id, count(h.id) as n_results, count(h.id) > 0 as any_result, max(h.score) as top_score from (select item_id as query_id from benchmark where item_id < 10) q left join (select query_id, id, score from hy where channel = 'sparse') h using (query_id) group by 1")
+@register("query_outcomes", f"{_HYBRID} select q.query_id, count(h.id) as n_results, count(h.id) > 0 as any_result, max(h.score) as top_score from (select item_id as query_id from benchmark) q left join (select query_id, id, score from hy where channel = 'sparse') h using (query_id) group by 1")
 def query_outcomes(spark: Spark, sf_dir: str) -> DataFrame:
-    all_ = read(spark, sf_dir, "benchmark").filter("item_id < 10").select(F.col("item_id").alias("query_id"))
+    all_ = read(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"))
     return metrics.query_outcomes(all_, hybrid_search(spark, sf_dir).filter("channel = 'sparse'"))
 
 
-@register("no_result_ratio", f"{_HYBRID}, o as (select q.query_id, count(h.id) as n from (select item_id as query_id from benchmark where item_id < 10) q left join (select query_id, id from hy where channel = 'sparse') h using (query_id) group by 1) select round(avg(n), 9)::double as results_per_query, round(avg(case when n = 0 then 1.0 else 0.0 end), 9)::double as no_result_ratio from o")
+@register("no_result_ratio", f"{_HYBRID}, o as (select q.query_id, count(h.id) as n from (select item_id as query_id from benchmark) q left join (select query_id, id from hy where channel = 'sparse') h using (query_id) group by 1) select round(avg(n), 9)::double as results_per_query, round(avg(case when n = 0 then 1.0 else 0.0 end), 9)::double as no_result_ratio from o")
 def no_result_ratio(spark: Spark, sf_dir: str) -> DataFrame:
     o = query_outcomes(spark, sf_dir)
     n = F.count(F.lit(1))
@@ -569,8 +568,8 @@ def quantile_sql(phi: float) -> str:
 @register("histogram_quantile", " union all ".join(quantile_sql(p) for p in (0.5, 0.95, 0.99)))
 def histogram_quantile(spark: Spark, sf_dir: str) -> DataFrame:
     b = metrics.histogram(points(spark, sf_dir), "event_type", value="seconds")
-    parts = [metrics.quantile(b, p, "event_type").select("event_type", F.lit(p).alias("phi"), F.round("quantile", 6).alias("q")) for p in (0.5, 0.95, 0.99)]
-    return parts[0].unionByName(parts[1]).unionByName(parts[2])
+    out = metrics.quantiles(b, [0.5, 0.95, 0.99], "event_type")
+    return out.select("event_type", "phi", F.round("quantile", 6).alias("q"))
 
 
 @register("topscore_quantile", "select label, round(quantile_cont(embedding[1]::double, 0.95), 6) as p95 from embeddings group by 1")

@@ -9,10 +9,13 @@ FEEDBACK_SCHEMA = "query string, chunk_id string, feedback int, chunk_text strin
 
 
 def read_feedback(spark: SparkSession, path: str, strict: bool = True) -> DataFrame:
-    """Strict: a broken line fails the query.  Else it becomes a row with the
-    line in ``_corrupt``."""
+    """Strict: a broken or blank line fails the query.  Else a broken line
+    becomes a row with the line in ``_corrupt``."""
     if strict:
-        return spark.read.schema(FEEDBACK_SCHEMA).option("mode", "FAILFAST").json(path)
+        line = F.col("value")
+        full = F.when(F.trim(line) == "", F.raise_error(F.lit("blank line in the feedback log"))).otherwise(line)
+        parsed = F.from_json(full, FEEDBACK_SCHEMA, {"mode": "FAILFAST"})
+        return spark.read.text(path).select(parsed.alias("f")).select("f.*")
     return spark.read.schema(FEEDBACK_SCHEMA + ", _corrupt string").option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", "_corrupt").json(path)
 
 
