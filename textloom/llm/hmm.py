@@ -34,7 +34,9 @@ from pyspark.sql import functions as F
 from .common import id_residue, most_frequent, stage
 
 END = b"\n"
-STRETCH = 512
+#: Texts of more words wait apart from shorter ones.  An E step over more
+#: tokens than ``WHOLE`` goes by stretches of so many words.
+STRETCH, WHOLE = 512, 1_250_000
 CHUNK_TOKENS = 250_000
 #: Slots of the neighbours on one side, and how much of a symbol goes to its group at first.
 SLOTS, OWN = 12, 0.7
@@ -98,7 +100,8 @@ class Expected:
         self.log = self.tokens = 0.0
 
     def add(self, flat: np.ndarray, lens: np.ndarray, start: np.ndarray, move: np.ndarray, emit: np.ndarray) -> None:
-        """One E step over whole sequences, in memory for a stretch of each."""
+        """One E step over whole sequences; of more than ``WHOLE`` tokens a
+        stretch of each is in memory at a time."""
         order, begin, place = packing(lens)
         states, steps = len(start), len(begin) - 1
         packed = np.empty(len(flat), dtype=np.int64)
@@ -113,7 +116,7 @@ class Expected:
             return now, scale
 
         # the belief before each stretch; those within are made again on the way back
-        borders = [*range(0, steps, STRETCH), steps]
+        borders = [*range(0, steps, STRETCH if len(flat) > WHOLE else steps), steps]
         carried = [first]
         for t0, t1 in zip(borders[:-2], borders[1:]):
             now = carried[-1]
