@@ -20,6 +20,8 @@ OVERFETCH, DEFAULT_K = 4, 5
 MOST_BROADCAST = 4096
 #: Parameters of the term weighting.
 K1, B = 1.2, 0.75
+#: Records and queries that meet in one matrix product.
+DOCS_AT_ONCE, QUERIES_AT_ONCE = 256, 256
 
 
 def _small(queries: DataFrame) -> DataFrame:
@@ -127,12 +129,17 @@ def sparse_topk(queries: DataFrame, records: DataFrame, k: int = DEFAULT_K, id_c
         return top_k(spark.createDataFrame([], schema), k).select("query_id", "rank", "id", "score")
     names = sorted({r["query_id"] for r in weights}, key=str)
     number = {q: i for i, q in enumerate(names)}
-    by_term: dict[str, tuple[list[int], list[float]]] = {}
-    for r in weights:
-        at, idf = by_term.setdefault(r["term"], ([], []))
-        at.append(number[r["query_id"]])
-        idf.append(r["idf"])
-    table = {t: (np.array(at), np.array(idf)) for t, (at, idf) in by_term.items()}
+    column = {t: i for i, t in enumerate(sorted({r["term"] for r in weights}))}
+    entries = np.array([(number[r["query_id"]], column[r["term"]], r["idf"]) for r in weights])
+    entries = entries[np.argsort(entries[:, 0], kind="stable")]
+
+    def piece(k: int) -> np.ndarray:
+        """Terms by the queries from number ``k`` on."""
+        some = entries[slice(*np.searchsorted(entries[:, 0], [k, k + QUERIES_AT_ONCE]))]
+        out = np.zeros((len(column), min(QUERIES_AT_ONCE, len(names) - k)))
+        out[some[:, 1].astype(int), some[:, 0].astype(int) - k] = some[:, 2]
+        return out
+
     avgdl, q_type = weights[0]["avgdl"], queries.select("query_id").limit(0).toArrow().schema.field(0).type
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -140,12 +147,18 @@ def sparse_topk(queries: DataFrame, records: DataFrame, k: int = DEFAULT_K, id_c
         for batch in batches:
             score = np.zeros((batch.num_rows, len(names)))
             ends, flat = batch.column(1).offsets.to_pylist(), batch.column(1).values
-            for d in range(batch.num_rows):
-                own = flat.slice(ends[d], ends[d + 1] - ends[d]).to_pylist()
-                scale, line = K1 * (1 - B + B * len(own) / avgdl), score[d]
-                for term, tf in Counter(own).items():
-                    if hit := table.get(term):
-                        line[hit[0]] += hit[1] * (tf * (K1 + 1) / (tf + scale))
+            for low in range(0, batch.num_rows, DOCS_AT_ONCE):
+                part = range(low, min(low + DOCS_AT_ONCE, batch.num_rows))
+                share = np.zeros((len(part), len(column)))
+                for d in part:
+                    own = flat.slice(ends[d], ends[d + 1] - ends[d]).to_pylist()
+                    scale = K1 * (1 - B + B * len(own) / avgdl)
+                    hits = [(column[t], tf) for t, tf in Counter(own).items() if t in column]
+                    if hits:
+                        at, tf = np.array(hits).T
+                        share[d - low, at] = tf * (K1 + 1) / (tf + scale)
+                for q in range(0, len(names), QUERIES_AT_ONCE):  # a dense piece of the weights at a time
+                    score[low : low + len(part), q : q + QUERIES_AT_ONCE] = share @ piece(q)
             rows, at = [], []
             for j in range(len(names)):
                 found = np.flatnonzero(score[:, j])  # every term of a query that a record has counts for it
