@@ -25,7 +25,7 @@ def register(name: str, sql: str | None = None) -> Callable[[Query], Query]:
 
 
 def _load() -> None:
-    from . import standard  # noqa: F401  registers its queries
+    from . import standard, storage  # noqa: F401  register their queries
 
 
 def queries() -> dict[str, Query]:

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from textloom.functions import metadata as md
 from textloom.functions import text as tx
 from textloom.operators import chunking, feedback, metrics, records, rerank, retrieval
+from textloom.session import spread
 from textloom.sources import catalogs
 
 from .catalog import register
@@ -21,7 +22,7 @@ def read(spark: Spark, sf_dir: str, name: str) -> DataFrame:
 
 
 def docs(spark: Spark, sf_dir: str) -> DataFrame:
-    return read(spark, sf_dir, "documents")
+    return spread(read(spark, sf_dir, "documents"))
 
 
 # ---- chunks

@@ -3,9 +3,11 @@
 from __future__ import annotations
 
 import os
+import tempfile
+import uuid
 from pathlib import Path
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 ROOT = str(Path(__file__).resolve().parent.parent)
 
@@ -38,3 +40,33 @@ def local_session(cpus: int | str = "*", shuffle_partitions: int = 8, memory: st
     )
     spark.sparkContext.setLogLevel("ERROR")
     return ship(spark)
+
+
+def scratch(spark: SparkSession, label: str) -> str:
+    """A new path in the folder that driver and executors share
+    (``spark.checkpoint.dir``), deleted when the session's JVM ends.
+
+    Only a local session that has none set gets a folder of its own.
+    """
+    shared = spark.conf.get("spark.checkpoint.dir", None)
+    if not shared:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that driver and executors share")
+        shared = "file://" + tempfile.mkdtemp(prefix="textloom-")
+        spark.conf.set("spark.checkpoint.dir", shared)
+    out = f"{shared}/textloom/{label}-{uuid.uuid4().hex}"
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(out)
+    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(path)
+    return out
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """``df`` over all cores, where its scan has fewer partitions than those.
+
+    For work that costs far more than moving the rows, such as regular
+    expressions over texts in a table of one or two row groups.  A table with
+    partitions enough is left as it is and not shuffled.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    parts = df._jdf.queryExecution().toRdd().getNumPartitions()
+    return df if parts >= cores else df.repartition(cores)

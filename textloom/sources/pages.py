@@ -78,20 +78,23 @@ class _PagesReader(DataSourceReader):
         self.path = options["path"]
         self.suffix = options.get("suffix", ".txt")
 
+    def store(self):  # noqa: ANN201
+        """The file system of the folder, and the folder's path in it."""
+        import pyarrow.fs as pafs
+
+        return pafs.FileSystem.from_uri(self.path) if "://" in self.path else (pafs.LocalFileSystem(), self.path)
+
     def partitions(self) -> list[InputPartition]:
         import pyarrow.fs as pafs
 
-        fs, root = pafs.FileSystem.from_uri(self.path) if "://" in self.path else (pafs.LocalFileSystem(), self.path)
+        fs, root = self.store()
         found = fs.get_file_info(pafs.FileSelector(root))
         return [_FilePartition(f.path) for f in sorted(found, key=lambda f: f.path) if f.is_file and f.path.endswith(self.suffix)] or [_FilePartition("")]
 
     def read(self, partition: _FilePartition) -> Iterator[tuple]:
         if not partition.path:
             return
-        import pyarrow.fs as pafs
-
-        fs = pafs.FileSystem.from_uri(self.path)[0] if "://" in self.path else pafs.LocalFileSystem()
-        with fs.open_input_stream(partition.path) as f:
+        with self.store()[0].open_input_stream(partition.path) as f:
             content = f.read()
         name = partition.path.rsplit("/", 1)[-1]
         decoder = pdf_decoder if self.suffix == ".pdf" else form_feed_decoder
@@ -120,6 +123,6 @@ class PagesSource(DataSource):
 
 def ensure_index(spark: SparkSession, name: str, path: str, schema: str) -> DataFrame:
     """The index table of that name, made empty if it is missing."""
-    table = f"`{name}`"
-    spark.sql(f"CREATE TABLE IF NOT EXISTS {table} ({schema}) USING parquet LOCATION '{path}'")
+    table, place = "`" + name.replace("`", "``") + "`", path.replace("\\", "\\\\").replace("'", "\\'")
+    spark.sql(f"CREATE TABLE IF NOT EXISTS {table} ({schema}) USING parquet LOCATION '{place}'")
     return spark.table(table)
