@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+import ctypes
+import gc
 import tempfile
 import uuid
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -104,3 +107,13 @@ def most_frequent(counts: DataFrame, n_col: str, most: int) -> DataFrame:
             break
         room, least = room - row["rows"], row["rank"]
     return counts.filter(F.lit(False) if least is None else rank >= least)
+
+
+def give_back() -> None:
+    """Return a Python worker's free memory to the system: workers serve one
+    stage after the other and would hold on to the largest one's."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim is not None:
+        trim(0)
