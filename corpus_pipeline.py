@@ -23,6 +23,15 @@ from textloom.session import ship
 
 TOXIC_AT = 0.7
 
+#: Bytes of texts that pass between the JVM and a Python worker at a time.
+BATCH_BYTES = 4 << 20
+
+
+def ready(spark: SparkSession) -> SparkSession:
+    """The session with workers that find the package and take small batches."""
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
+    return ship(spark)
+
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Rows whose text scores below the threshold.
@@ -31,7 +40,7 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     evidence and stay, repeated rows and rows without an id are judged like
     any other, equal texts alike; an empty table gives none.
     """
-    ship(spark)
+    ready(spark)
     scorer = toxicity.fit(docs, table(spark, sf_dir, "labels"))
     return docs.filter(toxicity.score_column(scorer) < TOXIC_AT)
 
@@ -44,7 +53,7 @@ def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
     with the same id and the same text one stays.  Texts without a word are
     similar to nothing, so each stays; an empty table gives none.
     """
-    ship(spark)
+    ready(spark)
     key = F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id").alias("id"), F.xxhash64("text").alias("text"))
     found = ngram_join.join_similar(docs.select(key.alias("key"), "text"), id_col="key")
     kept = found.filter("key = component_id").select("key").distinct()
@@ -58,7 +67,7 @@ def redact_pii(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     Whole texts; null texts stay null, empty and repeated ones stay as they
     are; ``n_chars`` follows the text; an empty table gives none.
     """
-    ship(spark)
+    ready(spark)
     return pii.redact_texts(docs)
 
 
@@ -68,7 +77,7 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     A null source is one of its own, a null text has no length; rows without
     an id and repeated rows stay; an empty table gives none.
     """
-    ship(spark)
+    ready(spark)
     return mixing.mixed(docs)
 
 
@@ -79,7 +88,7 @@ def pack_tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     its separator alone; rows without an id and repeated rows are packed each;
     an empty table gives no pieces.
     """
-    ship(spark)
+    ready(spark)
     return packing.pack(docs, public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("byte_bpe_50k.tiktoken"))
 
 
@@ -98,7 +107,7 @@ ORACLE_SQL = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages in order, each written as Parquet and read by the next."""
-    docs = table(ship(spark), sf_dir, "documents")
+    docs = table(ready(spark), sf_dir, "documents")
     for name, stage in STAGES[:-1]:
         out = fresh_path(spark, f"pipeline-{name}")
         stage(spark, docs, sf_dir).write.parquet(out)
