@@ -265,6 +265,49 @@ def test_toxicity_odd_rows(spark):
     assert toxicity.toxicity(docs(spark, ODD), empty).filter("predicted = 0").count() == len(ODD)
 
 
+def test_all_labelled_texts_are_learned(spark):
+    """2,100 toxic rows; those that come last by the hash of their id have a word of their own."""
+    rng = random.Random(7)
+    ids = [i for i in range(9000) if zlib.crc32(str(i).encode()) % 3 != 1][:4200]
+    marked = spark.createDataFrame([(i, k % 2) for k, i in enumerate(ids)], "doc_id long, toxic int")
+    order = marked.filter("toxic = 1").selectExpr("doc_id", "xxhash64(doc_id) as h").orderBy("h").collect()
+    late = {r["doc_id"] for r in order[2000:]}
+    assert len(late) == 100
+    words = ["".join(rng.choice("aeiou") + rng.choice("bdlmnrst") for _ in range(3)) for _ in range(300)]
+    rows = []
+    for k, i in enumerate(ids):
+        mark = "" if k % 2 == 0 else " zorgblat" if i in late else " vexquim"
+        rows.append((i, " ".join(rng.choice(words) for _ in range(12)) + mark, "a"))
+    table = docs(spark, rows)
+    scorer = toxicity.fit(table, marked)
+    assert scorer.score("zorgblat") >= 0.7 and scorer.score("vexquim") >= 0.7 and scorer.score(words[0]) < 0.3
+
+
+def test_fit_equals_learning_in_memory(spark, monkeypatch):
+    """Families larger than a task's share, halves and sums as in memory."""
+    monkeypatch.setattr(toxicity, "UNIT", 2)
+    rng = random.Random(9)
+    words = ["".join(rng.choice("aeiou") + rng.choice("bdlmnrst") for _ in range(3)) for _ in range(200)]
+    rows, marks = [], []
+    copied = [rng.choice(words) for _ in range(60)]
+    for i in range(600):
+        own = list(copied) if i % 9 == 0 else [rng.choice(words) for _ in range(rng.randint(0, 30))]
+        if i % 9 == 0:
+            own[rng.randrange(60)] = rng.choice(words)
+        if i % 4 == 0:
+            own.insert(rng.randrange(len(own) + 1), rng.choice(["1d10t", "idiot", "m.o.r.o.n", "moron"]))
+        rows.append((i, " ".join(own) if i != 7 else None, "a"))
+        marks.append((i, int(i % 4 == 0)))
+    rows += [(1000 + i, rows[4][1], "a") for i in range(5)]  # copies
+    marks += [(1000 + i, 1) for i in range(5)]
+    label = dict(marks)
+    used = [(t, label[i]) for i, t, _ in rows if zlib.crc32(str(i).encode()) % 3 != 1]
+    there, here = toxicity.fit(docs(spark, rows), spark.createDataFrame(marks, "doc_id long, toxic int")), toxicity.learn(used)
+    assert there.model.tri == here.model.tri
+    assert there.weights == here.weights and here.weights
+    assert there.beta == pytest.approx(here.beta, abs=1e-6)
+
+
 def test_held_out_accuracy(spark):
     base = "/root/testdata/sf0.1"
     table, labels = spark.read.parquet(f"{base}/documents.parquet"), spark.read.parquet(f"{base}/labels.parquet")

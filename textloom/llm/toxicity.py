@@ -9,9 +9,10 @@ The restored words are scored: word shapes (whole words, beginnings, endings)
 that labelled toxic documents show and clean ones do not carry weights, and a
 logistic model of a document's evidence gives its probability.
 
-The labels used are a bounded sample (``max_toxic`` and ``max_clean`` rows),
-``max_bytes`` of text), taken by a hash of the id from rows whose id's
-remainder is not the held-out one.  Scores depend on texts alone.
+All labelled texts are learned from, whole, but those whose id's remainder is
+the held-out one.  Executors count trigrams and word shapes and sum what the
+logistic model needs; the driver gets the trigram table and the shapes that
+pass both tests, never texts.  Scores depend on texts alone.
 """
 
 from __future__ import annotations
@@ -25,10 +26,12 @@ from zlib import crc32
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import give_back, id_residue, stage
+from .common import give_back, id_residue, narrow, stage
+from .ngram_join import contract
 
 #: What a symbol may stand for within a word.
 LEET = {"0": "o", "1": "il", "2": "z", "3": "e", "4": "a", "5": "s", "6": "gb", "7": "t", "8": "b", "9": "g", "@": "a", "$": "s", "!": "i", "|": "li", "+": "t", "(": "c", "<": "c", "€": "e", "£": "l", "¢": "c", "#": "h"}
@@ -45,6 +48,8 @@ BLANK = " "
 STRETCH = 256
 #: What is kept of decoded words: so many, each of so many characters at most.
 CACHE_WORDS, CACHE_CHARS = 400_000, 40
+#: A larger alphabet gets decoding tables of a word's own letters only.
+MOST_LETTERS = 80
 
 _EDGE = re.compile(r"^[^\w@$!|+(<*#€£¢]+|[^\w]+$")
 _TWICE = re.compile(r"(.)\1")
@@ -70,19 +75,25 @@ def wider_shapes(shape: str) -> list[str]:
     return [shape[k:] for k in range(1, len(shape) - 4)]
 
 
+def trigrams(words: dict[str, int]) -> Counter:
+    """Counts of the character trigrams of padded words."""
+    tri: Counter = Counter()
+    for word, n in words.items():
+        padded = "^^" + word + "$"
+        for k in range(2, len(padded)):
+            tri[padded[k - 2 : k + 1]] += n
+    return tri
+
+
 class CharModel:
     """Character trigrams within words, by absolute counts with add-one back-off."""
 
-    def __init__(self, words: dict[str, int]):
-        tri: Counter = Counter()
+    def __init__(self, tri: dict[str, int]):
         bi: Counter = Counter()
         uni: Counter = Counter()
-        for word, n in words.items():
-            padded = "^^" + word + "$"
-            for k in range(2, len(padded)):
-                tri[padded[k - 2 : k + 1]] += n
-                bi[padded[k - 1 : k + 1]] += n
-                uni[padded[k]] += n
+        for t, n in tri.items():
+            bi[t[1:]] += n
+            uni[t[2]] += n
         self.total = sum(uni.values()) + 1000
         self.uni = {c: (n + 1) / self.total for c, n in uni.items()}
         before: Counter = Counter()
@@ -111,11 +122,18 @@ class CharModel:
     def dense(self, places: list[list[tuple[str, float]]]) -> str:
         """The likeliest path by tables over all pairs of letters: the same
         time for each choice of a place, however many states there are."""
-        names = ["^", *self.letters, "\0"]
-        if self.tables is None:  # the log of each letter after each pair, made once a process
+        letters = self.letters
+        if len(letters) > MOST_LETTERS:
+            own = {c for choices in places for some, _ in choices for c in some if c != BLANK}
+            letters = sorted(own.intersection(letters))
+        names = ["^", *letters, "\0"]
+        tables = self.tables if letters is self.letters else None
+        if tables is None:  # the log of each letter after each pair, made once a process
             step = np.array([[[self.log(a, b, c) for c in names] for b in names] for a in names])
-            self.tables = step, np.array([[self.log(a, b, "$") for b in names] for a in names])
-        step, end = self.tables
+            tables = step, np.array([[self.log(a, b, "$") for b in names] for a in names])
+            if letters is self.letters:
+                self.tables = tables
+        step, end = tables
         size, place = len(names), {c: i for i, c in enumerate(names)}
         other = size - 1
 
@@ -268,11 +286,29 @@ def restore(token: str, model: CharModel) -> list[str]:
     return words
 
 
+class Restorer:
+    """``restore`` with a bounded memory."""
+
+    def __init__(self, model: CharModel):
+        self.model = model
+        self.cache: dict[str, list[str]] = {}
+
+    def __call__(self, token: str) -> list[str]:
+        found = self.cache.get(token)
+        if found is None:
+            found = restore(token, self.model)
+            if len(self.cache) >= CACHE_WORDS:
+                self.cache.clear()
+            if len(token) <= CACHE_CHARS:
+                self.cache[token] = found
+        return found
+
+
 class Scorer:
     """Weights of word shapes, the character model and the logistic model."""
 
-    def __init__(self, model: CharModel, weights: dict[str, float], beta: tuple[float, ...]):
-        self.model, self.weights, self.beta = model, weights, beta
+    def __init__(self, model: CharModel, weights: dict[str, float], beta: tuple[float, ...], restored: Restorer | None = None):
+        self.model, self.weights, self.beta, self.restored = model, weights, beta, restored
         self.cache: dict[str, float] = {}
 
     def word(self, word: str) -> float:
@@ -282,7 +318,8 @@ class Scorer:
     def token(self, token: str) -> float:
         found = self.cache.get(token)
         if found is None:
-            found = max((self.word(w) for w in restore(token, self.model)), default=0.0)
+            words = restore(token, self.model) if self.restored is None else self.restored(token)
+            found = max((self.word(w) for w in words), default=0.0)
             if len(self.cache) >= CACHE_WORDS:
                 self.cache.clear()
             if len(token) <= CACHE_CHARS:
@@ -323,10 +360,42 @@ class Scorer:
 # ---- learning
 
 
+#: Bands of a text's signature, and hashes of a band.
+BANDS, BAND = 8, 4
+_SALTS = np.arange(1, BANDS * BAND + 1, dtype=np.uint64)[:, None] * np.uint64(7919)
+_BAND_SALTS = np.arange(BANDS, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+
+
+def node_of(text: str) -> int:
+    """What Spark's ``xxhash64`` gives for a text."""
+    n = xxhash.xxh64_intdigest(text.encode(), seed=42)
+    return n - (1 << 64) if n >> 63 else n
+
+
+def band_keys(text: str) -> np.ndarray:
+    """Keys of which near copies share one.  A key holds several minima of the
+    hashed passages of three words, so that texts which share only a passage
+    do not chain a large table into one family."""
+    words = text.lower().split()
+    if len(words) < 3:
+        return np.zeros(0, dtype=np.int64)
+    hashes = np.fromiter({crc32(" ".join(words[k : k + 3]).encode()) for k in range(len(words) - 2)}, dtype=np.uint64)
+    least = np.empty(BANDS * BAND, dtype=np.uint64)
+    for k, salt in enumerate(_SALTS):
+        least[k] = (((hashes + salt) * np.uint64(2654435761)) & np.uint64(0xFFFFFFFF)).min()
+    key = _BAND_SALTS.copy()
+    for column in least.reshape(BANDS, BAND).T:
+        key = (key ^ column) * np.uint64(0xBF58476D1CE4E5B9)
+        key ^= key >> np.uint64(29)
+    return key.view(np.int64)
+
+
 def families(texts: list[str]) -> list[int]:
-    """A family number per text; copies and near copies share one, so that a
-    text that was copied often does not make its words evidence."""
-    parent = list(range(len(texts)))
+    """A family number per text (the least node in it); copies and near copies
+    share one, so that a text that was copied often does not make its words
+    evidence."""
+    nodes = [node_of(text) for text in texts]
+    parent = {n: n for n in nodes}
 
     def root(i: int) -> int:
         while parent[i] != i:
@@ -334,21 +403,17 @@ def families(texts: list[str]) -> list[int]:
             i = parent[i]
         return i
 
-    seen: dict[tuple[int, int], int] = {}
-    for i, text in enumerate(texts):
-        words = text.lower().split()
-        if len(words) < 3:
-            continue
-        hashes = np.array([crc32(" ".join(words[k : k + 3]).encode()) for k in range(len(words) - 2)], dtype=np.uint64)
-        for salt in range(1, 9):
-            key = (salt, int((((hashes + np.uint64(salt * 7919)) * np.uint64(2654435761)) & np.uint64(0xFFFFFFFF)).min()))
-            if key in seen:
-                parent[root(i)] = root(seen[key])
-            else:
-                seen[key] = i
-    return [root(i) for i in range(len(texts))]
+    seen: dict[int, int] = {}
+    for node, text in zip(nodes, texts):
+        for key in band_keys(text).tolist():
+            a, b = root(node), root(seen.setdefault(key, node))
+            parent[max(a, b)] = min(a, b)
+    return [root(n) for n in nodes]
 
 
+#: A shape needs so many toxic families, such a weight and such a G statistic;
+#: for the halves, which see fewer families, a smaller one.
+LEAST, WEIGHT_LEAST, G_LEAST, G_HALF = 3, 2.5, 20.0, 14.0
 #: Slots of the table that counts shapes by hash before any is kept by name.
 SLOTS = 1 << 23
 
@@ -365,7 +430,29 @@ def by_family(found: list[tuple[int, np.ndarray]]) -> list[np.ndarray]:
     return [np.unique(np.concatenate(p)) for p in parts.values()]
 
 
-def select(toxic: list[tuple[int, np.ndarray]], clean: list[tuple[int, np.ndarray]], names: list[str], least: int = 3, g_least: float = 20.0) -> dict[str, float]:
+def choose(counts: dict[str, tuple[int, int]], tp: int, tn: int, least: int = LEAST, g_least: float = G_LEAST) -> dict[str, float]:
+    """Weights from the families of toxic and of clean texts that show a shape.
+
+    ``counts`` may leave out shapes that fail: a shape has no more clean
+    families than its wider ones, so where a wider one with equal support
+    passes, the more specific one passes too.
+    """
+    kept = {s: p for s, (p, _) in counts.items() if p >= least}
+    wide = {w for s, p in kept.items() for w in wider_shapes(s) if kept.get(w) == p}
+    out = {}
+    share = tp / (tp + tn)
+    for s, p in sorted(kept.items()):
+        if s in wide:  # of shapes with equal support only the most specific stays
+            continue
+        n = counts[s][1]
+        weight = math.log((p + 0.5) / (tp + 1)) - math.log((n + 0.5) / (tn + 1))
+        g = 2 * (p * math.log(p / ((p + n) * share)) + (n * math.log(n / ((p + n) * (1 - share))) if n else 0.0))
+        if weight >= WEIGHT_LEAST and g >= g_least:
+            out[s] = round(min(weight, 8.0), 4)
+    return out
+
+
+def select(toxic: list[tuple[int, np.ndarray]], clean: list[tuple[int, np.ndarray]], names: list[str], least: int = LEAST, g_least: float = G_LEAST) -> dict[str, float]:
     """Shapes that families of toxic texts show far more often than clean ones,
     with their log odds; both lists hold (family, word numbers) of each text."""
     tox, cln = by_family(toxic), by_family(clean)
@@ -380,12 +467,6 @@ def select(toxic: list[tuple[int, np.ndarray]], clean: list[tuple[int, np.ndarra
         kept.update({s for w in words for s in shapes(names[w]) if seen[_slot(s)] >= least})
     del seen
     kept = Counter({s: n for s, n in kept.items() if n >= least})
-    # of shapes with equal support only the most specific stays
-    for s, p in sorted(kept.items()):
-        for wider in wider_shapes(s):
-            if kept.get(wider) == p:
-                kept[wider] = 0
-    kept = Counter({s: p for s, p in kept.items() if p})
     neg: Counter = Counter()
     hits: dict[int, list[str]] = {}
     for words in cln:
@@ -396,15 +477,7 @@ def select(toxic: list[tuple[int, np.ndarray]], clean: list[tuple[int, np.ndarra
                 found = hits[w] = [s for s in shapes(names[w]) if s in kept]
             own.update(found)
         neg.update(own)
-    out = {}
-    share = tp / (tp + tn)
-    for s, p in kept.items():
-        n = neg[s]
-        weight = math.log((p + 0.5) / (tp + 1)) - math.log((n + 0.5) / (tn + 1))
-        g = 2 * (p * math.log(p / ((p + n) * share)) + (n * math.log(n / ((p + n) * (1 - share))) if n else 0.0))
-        if weight >= 2.5 and g >= g_least:
-            out[s] = round(min(weight, 8.0), 4)
-    return out
+    return choose({s: (p, neg[s]) for s, p in kept.items()}, tp, tn, least, g_least)
 
 
 def logistic(x: np.ndarray, y: np.ndarray, ridge: float = 0.05) -> tuple[float, ...]:
@@ -421,18 +494,23 @@ def logistic(x: np.ndarray, y: np.ndarray, ridge: float = 0.05) -> tuple[float,
     return tuple(float(b) for b in beta)
 
 
+def base_rate(model: CharModel, toxic: int, rows: int) -> Scorer:
+    rate = min(max(toxic / rows, 0.001), 0.999) if rows else 0.0001
+    return Scorer(model, {}, (math.log(rate / (1 - rate)), 0.0, 0.0, 0.0))
+
+
 def learn(rows: Iterable[tuple[str, int]]) -> Scorer:
-    """A scorer from (text, label) rows; without both labels it gives the base rate."""
+    """A scorer from (text, label) rows in memory, all of them used; without
+    both labels it gives the base rate.  ``fit`` gives the same for tables."""
     rows = sorted((t or "", int(y)) for t, y in rows)
     counts: Counter = Counter()
     for text, _ in rows:
         counts.update(_LETTERS.findall(text.lower()))
-    model = CharModel(counts)
+    model = CharModel(trigrams(counts))
     del counts
     y = np.array([label for _, label in rows], dtype=float)
     if not len(y) or y.min() == y.max():
-        rate = float(np.clip(y.mean(), 0.001, 0.999)) if len(y) else 0.0001
-        return Scorer(model, {}, (math.log(rate / (1 - rate)), 0.0, 0.0, 0.0))
+        return base_rate(model, int(y.sum()), len(y))
     number: dict[str, int] = {}
     restored: dict[str, list[int]] = {}
 
@@ -449,7 +527,7 @@ def learn(rows: Iterable[tuple[str, int]]) -> Scorer:
     found = [(f, words(text)) for (text, _), f in zip(rows, family)]
     del restored
     names = list(number)
-    half = [crc32(str(f).encode()) % 2 for f in family]
+    half = [f % 2 for f in family]
 
     def parts(label: int, skip: int) -> list[tuple[int, np.ndarray]]:
         return [x for x, (_, own), h in zip(found, rows, half) if own == label and h != skip]
@@ -457,7 +535,7 @@ def learn(rows: Iterable[tuple[str, int]]) -> Scorer:
     # evidence for the logistic model comes from weights of the other half
     x = np.zeros((len(rows), 3))
     for skip in (0, 1):
-        other = Scorer(model, select(parts(1, skip), parts(0, skip), names, g_least=14.0), (0.0,))
+        other = Scorer(model, select(parts(1, skip), parts(0, skip), names, g_least=G_HALF), (0.0,))
         for i, (text, _) in enumerate(rows):
             if half[i] == skip:
                 x[i] = other.evidence(text)
@@ -466,7 +544,8 @@ def learn(rows: Iterable[tuple[str, int]]) -> Scorer:
 
 
 def training_rows(docs: DataFrame, labels: DataFrame, held_out: int, mod: int, max_toxic: int, max_clean: int, max_bytes: int, id_col: str, text_col: str, label_col: str) -> list[tuple[str, int]]:
-    """The bounded sample of labelled texts, chosen by a hash of the id.
+    """A bounded sample of labelled texts in memory, chosen by a hash of the id,
+    for trials; ``fit`` and ``toxicity`` learn from all and do not call this.
 
     Of rows that repeat an id the text that comes first counts; ids are taken
     in the order of their hash while their texts have room in ``max_bytes``.
@@ -506,11 +585,231 @@ def score_column(scorer: Scorer, text_col: str = "text") -> Column:
     return run(F.col(text_col))
 
 
-def fit(docs: DataFrame, labels: DataFrame, held_out: int = 1, mod: int = 3, max_toxic: int = 2000, max_clean: int = 4000, max_bytes: int = 64 << 20, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic") -> Scorer:
-    return learn(training_rows(docs, labels, held_out, mod, max_toxic, max_clean, max_bytes, id_col, text_col, label_col))
+#: Texts of a family that one task joins; a larger family is dealt to several.
+UNIT = 64
+#: Counts a task holds before it sends them.
+MOST_COUNTS = 400_000
+#: Sums of the logistic model are taken in whole units, so that no order of rows changes them.
+FINE = float(1 << 40)
+
+
+def labelled(docs: DataFrame, labels: DataFrame, held_out: int, mod: int, id_col: str, text_col: str, label_col: str) -> DataFrame:
+    """Staged: id, text, label and the text's hash as ``node``, of every row
+    that may be learned from.
+
+    Of rows that repeat an id the text that comes first counts, and label 1
+    before 0; a null text counts as empty.
+    """
+    marked = labels.select(F.col(id_col).alias("id"), F.col(label_col).alias("label")).filter(F.col("id").isNotNull() & F.col("label").isin(0, 1) & (id_residue(F.col("id"), mod) != held_out))
+    marked = stage(marked.groupBy("id").agg(F.max("label").cast("int").alias("label")), "tox-labels")
+    texts = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
+    once = texts.join(narrow(marked), "id").groupBy("id").agg(F.min("text").alias("text"), F.first("label").alias("label"))
+    return stage(once.withColumn("node", F.xxhash64("text")), "tox-texts")
+
+
+def count_trigrams(texts: DataFrame) -> dict[str, int]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def out() -> pa.RecordBatch:
+            tri = trigrams(words)
+            words.clear()
+            return pa.RecordBatch.from_arrays([pa.array(list(tri), pa.string()), pa.array(list(tri.values()), pa.int64())], ["tri", "n"])
+
+        words: Counter = Counter()
+        for batch in batches:
+            for text in batch.column(0).to_pylist():
+                words.update(_LETTERS.findall(text.lower()))
+                if len(words) >= MOST_COUNTS:
+                    yield out()
+        yield out()
+        give_back()
+
+    counts = texts.select("text").mapInArrow(run, "tri string, n long").groupBy("tri").agg(F.sum("n").alias("n"))
+    return {r["tri"]: r["n"] for r in counts.collect()}
+
+
+def family_roots(texts: DataFrame) -> DataFrame:
+    """(node, root) of the nodes that have a near copy; ``families`` of tables."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            keys = [band_keys(t) for t in batch.column(1).to_pylist()]
+            nodes = np.repeat(batch.column(0).to_numpy(zero_copy_only=False), [len(k) for k in keys])
+            yield pa.RecordBatch.from_arrays([pa.array(nodes, pa.int64()), pa.array(np.concatenate(keys) if keys else [], pa.int64())], ["node", "key"])
+
+    keys = stage(texts.select("node", "text").mapInArrow(run, "node long, key long"), "tox-keys")
+    shared = keys.groupBy("key").agg(F.min("node").alias("least"), F.max("node").alias("most")).filter("least < most").select("key", "least")
+    edges = keys.join(narrow(stage(shared, "tox-shared")), "key").select(F.col("node").alias("a"), F.col("least").alias("b"))
+    return contract(edges, "tox-families")
+
+
+def with_families(texts: DataFrame) -> DataFrame:
+    """Staged: each distinct (text, label) once, with the number of its rows,
+    the root and half of its family, and in how many parts that is dealt (null:
+    it is alone)."""
+    one = texts.groupBy("node", "label").agg(F.min("id").alias("id"), F.count(F.lit(1)).alias("rows"))
+    one = stage(one.join(narrow(family_roots(texts)), "node", "left"), "tox-nodes")
+    parts = one.filter("root is not null").groupBy("root", "label").agg(F.ceil(F.count(F.lit(1)) / UNIT).cast("int").alias("parts"))
+    one = one.join(narrow(stage(parts, "tox-parts")), ["root", "label"], "left").withColumn("root", F.coalesce("root", "node"))
+    one = stage(one.withColumn("half", F.pmod("root", F.lit(2)).cast("int")), "tox-families")
+    return stage(texts.select("id", "text").join(narrow(one), "id").drop("id"), "tox-rows")
+
+
+def count_shapes(texts: DataFrame, model: CharModel, wanted: np.ndarray | None) -> DataFrame:
+    """(shape, f0, f1): families of either half that show a shape; with
+    ``wanted``, bits by slot, only shapes of marked slots."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        restored = Restorer(model)
+        known: dict[str, list[str]] = {}
+        counts: tuple[Counter, Counter] = (Counter(), Counter())
+        slots = None if wanted is None else np.unpackbits(wanted).tobytes()
+
+        def of(word: str) -> list[str]:
+            found = known.get(word)
+            if found is None:
+                found = shapes(word)
+                if slots is not None:
+                    found = [s for s in found if slots[_slot(s)]]
+                if len(known) >= CACHE_WORDS // 2:
+                    known.clear()
+                if len(word) <= CACHE_CHARS:
+                    known[word] = found
+            return found
+
+        def batch_of(names: list[str], half: int, n: list[int], unit: int | None) -> pa.RecordBatch:
+            size = len(names)
+            return pa.RecordBatch.from_arrays([pa.array(names, pa.string()), pa.array([half] * size, pa.int32()), pa.array(n, pa.int64()), pa.array([unit] * size, pa.int64())], ["shape", "half", "n", "unit"])
+
+        def flush() -> Iterator[pa.RecordBatch]:
+            for half in (0, 1):
+                yield batch_of(list(counts[half]), half, list(counts[half].values()), None)
+                counts[half].clear()
+
+        def close(words: set[str], root: int, half: int, whole: bool) -> Iterator[pa.RecordBatch]:
+            found = {s for w in words for s in of(w)}
+            if whole:
+                counts[half].update(found)
+                if len(counts[0]) + len(counts[1]) >= MOST_COUNTS:
+                    yield from flush()
+            else:
+                yield batch_of(list(found), half, [1] * len(found), root)
+
+        last, words = None, set()
+        for batch in batches:
+            for text, *now in zip(*(c.to_pylist() for c in batch.columns)):
+                if last is not None and now != last:
+                    yield from close(words, last[0], last[1], last[2] == 1)
+                    words = set()
+                last = now
+                tokens = text.lower().split()
+                for t in {*tokens, *fragments(tokens)}:
+                    words.update(restored(t))
+        if last is not None:
+            yield from close(words, last[0], last[1], last[2] == 1)
+        yield from flush()
+        del restored, known, counts
+        give_back()
+
+    columns = ["text", "root", "half", "parts", "part"]
+    alone = texts.filter("parts is null").withColumn("parts", F.lit(1)).withColumn("part", F.lit(0))
+    part = F.pmod(F.xxhash64("node", F.lit(1)), F.col("parts")).cast("int")
+    near = texts.filter("parts is not null").withColumn("part", part).repartition("root", "part").sortWithinPartitions("root", "part")
+    found = alone.select(columns).mapInArrow(run, "shape string, half int, n long, unit long").unionByName(near.select(columns).mapInArrow(run, "shape string, half int, n long, unit long"))
+    # the parts of a family show a shape once
+    once = found.groupBy("shape", "half", "unit").agg(F.sum("n").alias("n")).withColumn("n", F.when(F.col("unit").isNull(), F.col("n")).otherwise(1))
+    return once.groupBy("shape").agg(*(F.sum(F.when(F.col("half") == h, F.col("n")).otherwise(0)).alias(f"f{h}") for h in (0, 1)))
+
+
+def weights_of(texts: DataFrame, model: CharModel) -> list[dict[str, float]]:
+    """Weights without the first half, without the second, and of all families."""
+    sizes = {(r["label"], r["half"]): r["n"] for r in texts.select("root", "label", "half").distinct().groupBy("label", "half").agg(F.count(F.lit(1)).alias("n")).collect()}
+    totals = [[sum(sizes.get((label, h), 0) for h in (0, 1) if h != skip) for label in (1, 0)] for skip in (0, 1, 2)]
+    toxic = count_shapes(texts.filter("label = 1"), model, None)
+    toxic = stage(toxic.filter(F.col("f0") + F.col("f1") >= LEAST), "tox-shapes")
+    slot = F.crc32("shape") % SLOTS
+    marked = toxic.select(slot.alias("slot")).groupBy(F.expr("cast(slot div 8 as int)").alias("byte")).agg(F.expr("bit_or(shiftright(128, cast(slot % 8 as int)))").alias("bits"))
+    wanted = np.zeros(SLOTS // 8, dtype=np.uint8)
+    found = marked.toPandas()
+    wanted[found["byte"].to_numpy()] = found["bits"].to_numpy()
+    clean = count_shapes(texts.filter("label = 0"), model, wanted).select("shape", F.col("f0").alias("c0"), F.col("f1").alias("c1"))
+    both = toxic.join(clean, "shape", "left").fillna(0, ["c0", "c1"])
+
+    # the driver takes what passes for one of the three; ``choose`` decides
+    def passes(skip: int) -> Column:
+        tp, tn = totals[skip]
+        if not tp or not tn:
+            return F.lit(False)
+        p, n = (sum((F.col(f"{c}{h}") for h in (0, 1) if h != skip), F.lit(0)).cast("double") for c in "fc")
+        share = tp / (tp + tn)
+        weight = F.log((p + 0.5) / (tp + 1)) - F.log((n + 0.5) / (tn + 1))
+        g = 2 * (p * F.log(p / ((p + n) * share)) + F.when(n > 0, n * F.log(n / ((p + n) * (1 - share)))).otherwise(0.0))
+        return (p >= LEAST) & (weight >= WEIGHT_LEAST - 0.001) & (g >= (G_LEAST if skip == 2 else G_HALF) - 0.001)
+
+    rows = both.filter(passes(0) | passes(1) | passes(2)).collect()
+    out = []
+    for skip, (tp, tn) in enumerate(totals):
+        use = [h for h in (0, 1) if h != skip]
+        counts = {r["shape"]: (sum(r[f"f{h}"] for h in use), sum(r[f"c{h}"] for h in use)) for r in rows}
+        out.append(choose(counts, tp, tn, g_least=G_LEAST if skip == 2 else G_HALF) if tp and tn else {})
+    return out
+
+
+def fit_logistic(texts: DataFrame, model: CharModel, halves: list[dict[str, float]], ridge: float = 0.05) -> tuple[float, ...]:
+    """``logistic`` of tables: evidence under the other half's weights, and
+    Newton steps whose sums Spark takes over the distinct evidence."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        restored = Restorer(model)
+        scorers = [Scorer(model, w, (0.0,), restored) for w in halves]
+        for batch in batches:
+            found = [scorers[h].evidence(t) for t, h in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist())]
+            # weights have four decimals, so these are whole numbers
+            most, hits, total = ([round(v) for v in c] for c in zip(*((m * 1e4, math.expm1(a), math.expm1(b) * 1e4) for m, a, b in found))) if found else ([], [], [])
+            yield pa.RecordBatch.from_arrays([pa.array(most, pa.int64()), pa.array(hits, pa.int64()), pa.array(total, pa.int64()), batch.column(2), batch.column(3)], ["most", "hits", "total", "label", "rows"])
+        del scorers, restored
+        give_back()
+
+    seen = texts.select("text", "half", "label", "rows").mapInArrow(run, "most long, hits long, total long, label int, rows long")
+    seen = stage(seen.groupBy("most", "hits", "total", "label").agg(F.sum("rows").alias("rows")), "tox-evidence")
+    x = [F.lit(1.0), F.col("most") / 1e4, F.log1p(F.col("hits").cast("double")), F.log1p(F.col("total") / 1e4)]
+    size = len(x)
+    beta, penalty = np.zeros(size), np.diag([1e-6] + [ridge] * (size - 1))
+
+    def whole(value: Column) -> Column:
+        return F.sum(F.rint(value * FINE).cast("decimal(20,0)") * F.col("rows").cast("decimal(17,0)"))
+
+    for _ in range(50):
+        z = sum((float(b) * c for b, c in zip(beta, x)), F.lit(0.0))
+        p = 1 / (1 + F.exp(-F.greatest(F.lit(-30.0), F.least(F.lit(30.0), z))))
+        table = seen.select(*(c.alias(f"x{k}") for k, c in enumerate(x)), p.alias("p"), "label", "rows")
+        pairs = [(i, j) for i in range(size) for j in range(i, size)]
+        sums = [whole(F.col(f"x{i}") * (F.col("label") - F.col("p"))).alias(f"g{i}") for i in range(size)]
+        sums += [whole(F.col(f"x{i}") * F.col(f"x{j}") * F.col("p") * (1 - F.col("p"))).alias(f"h{i}{j}") for i, j in pairs]
+        got = table.agg(*sums).first()
+        gradient = np.array([float(got[f"g{i}"]) / FINE for i in range(size)])
+        hessian = np.zeros((size, size))
+        for i, j in pairs:
+            hessian[i, j] = hessian[j, i] = float(got[f"h{i}{j}"]) / FINE
+        step = np.linalg.solve(hessian + penalty, gradient - penalty @ beta)
+        beta += step
+        if np.abs(step).max() < 1e-8:
+            break
+    return tuple(float(b) for b in beta)
+
+
+def fit(docs: DataFrame, labels: DataFrame, held_out: int = 1, mod: int = 3, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic") -> Scorer:
+    """A scorer from all labelled rows that are not held out; ``learn`` of tables."""
+    texts = labelled(docs, labels, held_out, mod, id_col, text_col, label_col)
+    rows = {r["label"]: r["count"] for r in texts.groupBy("label").count().collect()}
+    model = CharModel(count_trigrams(texts))
+    if len(rows) < 2:
+        return base_rate(model, rows.get(1, 0), sum(rows.values()))
+    placed = with_families(texts)
+    first, second, every = weights_of(placed, model)
+    return Scorer(model, every, fit_logistic(placed, model, [first, second]))
 
 
-def toxicity(docs: DataFrame, labels: DataFrame, held_out: int = 1, mod: int = 3, threshold: float = 0.7, max_toxic: int = 2000, max_clean: int = 4000, max_bytes: int = 64 << 20, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic") -> DataFrame:
+def toxicity(docs: DataFrame, labels: DataFrame, held_out: int = 1, mod: int = 3, threshold: float = 0.7, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic") -> DataFrame:
     """One row per row of ``docs``: id, held_out, score, predicted.
 
     Scoring is a narrow map over whole texts.  Null and empty texts get the
@@ -519,7 +818,7 @@ def toxicity(docs: DataFrame, labels: DataFrame, held_out: int = 1, mod: int = 3
     extra columns are not read.  Without labels of both kinds every text gets
     the base rate.
     """
-    scorer = fit(docs, labels, held_out, mod, max_toxic, max_clean, max_bytes, id_col, text_col, label_col)
+    scorer = fit(docs, labels, held_out, mod, id_col, text_col, label_col)
     kind = docs.schema[id_col].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
