@@ -229,7 +229,7 @@ def decode(word: str, model: CharModel) -> str:
         return word
     if "**" in word:
         return model.dense(places)
-    log = model.log
+    log, tri = model.log, model.tri.get
     states: dict[str, tuple[float, tuple]] = {"^^": (0.0, ())}  # the best path to each, as a linked list
     for choices in places:
         new: dict[str, tuple[float, tuple]] = {}
@@ -240,7 +240,8 @@ def decode(word: str, model: CharModel) -> str:
                     s, now = s + log(now[0], now[1], "$"), "^^"
                 else:
                     for c in letters:
-                        s += log(now[0], now[1], c)
+                        known = tri(now + c)
+                        s += log(now[0], now[1], c) if known is None else known
                         now = now[1] + c
                 if now not in new or s > new[now][0]:
                     new[now] = (s, (path, letters))
@@ -255,17 +256,22 @@ def decode(word: str, model: CharModel) -> str:
 
 def fragments(tokens: list[str]) -> list[str]:
     """Runs of two or more neighbouring fragments, joined by blanks."""
-    out, run = [], []
-    for t in [*tokens, "x" * (FRAGMENT + 1)]:
-        if len(t) <= FRAGMENT or not t.isalpha() and 0 < len(t.translate(_NO_SEPARATOR)) <= FRAGMENT:
-            run.append(t)
-        else:
-            if len(run) > 1:
-                out.append(BLANK.join(run))
-            run = []
+    # a token that begins with more letters than a fragment has is none
+    at = [k for k, t in enumerate(tokens) if len(t) <= FRAGMENT or not t[: FRAGMENT + 1].isalpha() and 0 < len(t.translate(_NO_SEPARATOR)) <= FRAGMENT]
+    out, begin = [], 0
+    for k in range(1, len(at) + 1):
+        if k == len(at) or at[k] != at[k - 1] + 1:
+            if k - begin > 1:
+                out.append(BLANK.join(tokens[at[begin] : at[k - 1] + 1]))
+            begin = k
     return out
 
 
+def bare(token: str) -> str:
+    """What of a token ``restore`` looks at."""
+    return token if BLANK in token else _EDGE.sub("", token)
+
+
 def restore(token: str, model: CharModel) -> list[str]:
     """Words of one lower-cased token, or of a run of fragments: plain ones as
     they are, and what decoding makes of disguised ones."""
@@ -294,6 +300,7 @@ class Restorer:
         self.cache: dict[str, list[str]] = {}
 
     def __call__(self, token: str) -> list[str]:
+        token = bare(token)
         found = self.cache.get(token)
         if found is None:
             found = restore(token, self.model)
@@ -310,16 +317,25 @@ class Scorer:
     def __init__(self, model: CharModel, weights: dict[str, float], beta: tuple[float, ...], restored: Restorer | None = None):
         self.model, self.weights, self.beta, self.restored = model, weights, beta, restored
         self.cache: dict[str, float] = {}
+        # no word needs its longer shapes looked up if none begins or ends so
+        self.heads = {s[1:5] for s in weights if s[0] == "^"}
+        self.tails = {s[-5:-1] for s in weights if s[0] not in "=^"}
 
     def word(self, word: str) -> float:
-        get = self.weights.get
-        return max((get(s, 0.0) for s in shapes(word)), default=0.0)
+        if word[:4] in self.heads or word[-4:] in self.tails:
+            get = self.weights.get
+            return max((get(s, 0.0) for s in shapes(word)), default=0.0)
+        return self.weights.get("=" + word, 0.0)
 
     def token(self, token: str) -> float:
         found = self.cache.get(token)
         if found is None:
-            words = restore(token, self.model) if self.restored is None else self.restored(token)
-            found = max((self.word(w) for w in words), default=0.0)
+            key = bare(token)
+            if key != token:
+                found = self.token(key)
+            else:
+                words = restore(token, self.model) if self.restored is None else self.restored(token)
+                found = max(map(self.word, words), default=0.0)
             if len(self.cache) >= CACHE_WORDS:
                 self.cache.clear()
             if len(token) <= CACHE_CHARS:
@@ -362,7 +378,7 @@ class Scorer:
 
 #: Bands of a text's signature, and hashes of a band.
 BANDS, BAND = 8, 4
-_SALTS = np.arange(1, BANDS * BAND + 1, dtype=np.uint64)[:, None] * np.uint64(7919)
+_SALTS = (np.arange(1, BANDS * BAND + 1, dtype=np.uint64) * np.uint64(7919 * 2654435761)) & np.uint64(0xFFFFFFFF)
 _BAND_SALTS = np.arange(BANDS, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -380,9 +396,9 @@ def band_keys(text: str) -> np.ndarray:
     if len(words) < 3:
         return np.zeros(0, dtype=np.int64)
     hashes = np.fromiter({crc32(" ".join(words[k : k + 3]).encode()) for k in range(len(words) - 2)}, dtype=np.uint64)
-    least = np.empty(BANDS * BAND, dtype=np.uint64)
-    for k, salt in enumerate(_SALTS):
-        least[k] = (((hashes + salt) * np.uint64(2654435761)) & np.uint64(0xFFFFFFFF)).min()
+    # a salt turns the ring of hashes, so its least one is the next after a point
+    ring = np.sort((hashes * np.uint64(2654435761)) & np.uint64(0xFFFFFFFF))
+    least = (ring[np.searchsorted(ring, -_SALTS & np.uint64(0xFFFFFFFF)) % len(ring)] + _SALTS) & np.uint64(0xFFFFFFFF)
     key = _BAND_SALTS.copy()
     for column in least.reshape(BANDS, BAND).T:
         key = (key ^ column) * np.uint64(0xBF58476D1CE4E5B9)
@@ -661,10 +677,11 @@ def count_shapes(texts: DataFrame, model: CharModel, wanted: np.ndarray | None)
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         restored = Restorer(model)
         known: dict[str, list[str]] = {}
+        tokens_known: dict[str, list[str]] = {}
         counts: tuple[Counter, Counter] = (Counter(), Counter())
         slots = None if wanted is None else np.unpackbits(wanted).tobytes()
 
-        def of(word: str) -> list[str]:
+        def of_word(word: str) -> list[str]:
             found = known.get(word)
             if found is None:
                 found = shapes(word)
@@ -676,6 +693,15 @@ def count_shapes(texts: DataFrame, model: CharModel, wanted: np.ndarray | None)
                     known[word] = found
             return found
 
+        def of(token: str) -> list[str]:
+            lists = [of_word(w) for w in restored(token)]
+            found = lists[0] if len(lists) == 1 else [s for some in lists for s in some]
+            if len(tokens_known) >= CACHE_WORDS // 2:
+                tokens_known.clear()
+            if len(token) <= CACHE_CHARS:
+                tokens_known[token] = found
+            return found
+
         def batch_of(names: list[str], half: int, n: list[int], unit: int | None) -> pa.RecordBatch:
             size = len(names)
             return pa.RecordBatch.from_arrays([pa.array(names, pa.string()), pa.array([half] * size, pa.int32()), pa.array(n, pa.int64()), pa.array([unit] * size, pa.int64())], ["shape", "half", "n", "unit"])
@@ -685,8 +711,7 @@ def count_shapes(texts: DataFrame, model: CharModel, wanted: np.ndarray | None)
                 yield batch_of(list(counts[half]), half, list(counts[half].values()), None)
                 counts[half].clear()
 
-        def close(words: set[str], root: int, half: int, whole: bool) -> Iterator[pa.RecordBatch]:
-            found = {s for w in words for s in of(w)}
+        def close(found: set[str], root: int, half: int, whole: bool) -> Iterator[pa.RecordBatch]:
             if whole:
                 counts[half].update(found)
                 if len(counts[0]) + len(counts[1]) >= MOST_COUNTS:
@@ -694,20 +719,25 @@ def count_shapes(texts: DataFrame, model: CharModel, wanted: np.ndarray | None)
             else:
                 yield batch_of(list(found), half, [1] * len(found), root)
 
-        last, words = None, set()
+        last, seen = None, set()
+        get = tokens_known.get
         for batch in batches:
             for text, *now in zip(*(c.to_pylist() for c in batch.columns)):
                 if last is not None and now != last:
-                    yield from close(words, last[0], last[1], last[2] == 1)
-                    words = set()
+                    yield from close(seen, last[0], last[1], last[2] == 1)
+                    seen = set()
                 last = now
                 tokens = text.lower().split()
                 for t in {*tokens, *fragments(tokens)}:
-                    words.update(restored(t))
+                    found = get(t)
+                    if found is None:
+                        found = of(t)
+                    if found:
+                        seen.update(found)
         if last is not None:
-            yield from close(words, last[0], last[1], last[2] == 1)
+            yield from close(seen, last[0], last[1], last[2] == 1)
         yield from flush()
-        del restored, known, counts
+        del restored, known, tokens_known, get, counts
         give_back()
 
     columns = ["text", "root", "half", "parts", "part"]
