@@ -7,6 +7,7 @@ import random
 import re
 import zlib
 
+import numpy as np
 import public_tokenizers
 import pyarrow.parquet as pq
 import pytest
@@ -308,6 +309,44 @@ def test_fit_equals_learning_in_memory(spark, monkeypatch):
     assert there.beta == pytest.approx(here.beta, abs=1e-6)
 
 
+def test_only_what_may_carry_weight_is_decoded(scorer, monkeypatch):
+    """Words none of whose readings has a weight are not decoded, all others as before."""
+    mine = toxicity.Scorer(scorer.model, {**scorer.weights, "^anno": 3.0, "heen$": 3.0, "=aan": 4.0}, scorer.beta)
+    rng = random.Random(11)
+    parts = ["id", "iot", "i", "d", "o", "t", "m", "oo", "ron", "st", "uu", "pid", "tr", "a", "sh", "an", "nn", "hee", "en", "0", "1", "-", ".", "*", "%", "\u00b2", "e\u0301", "(", "\u00e9"]
+    tokens = ["".join(rng.choice(parts) for _ in range(rng.randint(1, 6))) for _ in range(4000)]
+    tokens += ["iidiiot", "trashh", "mooooron", "aann", "annnooxx", "xxhheeen", "annxx", "", "a\u00b2\u00b2n"]
+    runs = [" ".join(rng.choice(["i", "di", "ot", "d", "o", "t", "m.", "r", "on", "a", "-n", "aa", "1", "%", "'", "st", "u", "*"]) for _ in range(rng.randint(2, 7))) for _ in range(2000)]
+    plain = [max((mine.weights.get(s, 0.0) for w in toxicity.restore(t, mine.model) for s in toxicity.shapes(w)), default=0.0) for t in tokens + runs]
+    assert [mine.weigh(t) for t in tokens + runs] == plain and sum(map(bool, plain)) > 10
+    decoded = []
+    whole = toxicity.decode
+    monkeypatch.setattr(toxicity, "decode", lambda word, model: decoded.append(word) or whole(word, model))
+    text = "hee annd therre onn, reedd inn th he on ed an"
+    assert toxicity.Scorer(scorer.model, scorer.weights, scorer.beta).score(text) < 0.3 and not decoded
+    assert toxicity.Scorer(scorer.model, scorer.weights, scorer.beta).score("hee idiiot") >= 0.7 and decoded == ["idiiot"]
+
+
+def test_shapes_that_fail_early_are_not_counted_on(spark, monkeypatch):
+    """Of some thousand shapes all clean families are asked for those that can still pass; the weights stay."""
+    marked = []
+    count = toxicity.count_shapes
+
+    def spy(texts, model, wanted, *more):
+        marked.append(None if wanted is None else int(np.unpackbits(wanted).sum()))
+        return count(texts, model, wanted, *more)
+
+    monkeypatch.setattr(toxicity, "count_shapes", spy)
+    rng = random.Random(12)
+    words = ["".join(rng.choice("aeiou") + rng.choice("bdlmnrst") for _ in range(3)) for _ in range(300)]
+    rows = [" ".join([rng.choice(words) for _ in range(80)] + (["moron", "iddiot"][k % 20 // 10 : k % 20 // 10 + 1] if k % 10 == 0 else [])) for k in range(2500)]
+    marks = spark.createDataFrame([(i, int(i % 10 == 0)) for i in range(2500)], "doc_id long, toxic int")
+    there = toxicity.fit(docs(spark, [(i, t, "a") for i, t in enumerate(rows)]), marks)
+    here = toxicity.learn([(t, int(i % 10 == 0)) for i, t in enumerate(rows) if zlib.crc32(str(i).encode()) % 3 != 1])
+    assert there.weights == here.weights and here.weights and there.beta == pytest.approx(here.beta, abs=1e-6)
+    assert marked[1] > 1000 and marked[-1] < marked[1] / 5
+
+
 def test_held_out_accuracy(spark):
     base = "/root/testdata/sf0.1"
     table, labels = spark.read.parquet(f"{base}/documents.parquet"), spark.read.parquet(f"{base}/labels.parquet")

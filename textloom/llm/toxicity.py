@@ -52,7 +52,10 @@ CACHE_WORDS, CACHE_CHARS = 400_000, 40
 MOST_LETTERS = 80
 
 _EDGE = re.compile(r"^[^\w@$!|+(<*#€£¢]+|[^\w]+$")
+_STOPS = frozenset(".,;:!?)")
 _TWICE = re.compile(r"(.)\1")
+_RUN = re.compile(r"(.)\1+")
+_BESIDE = re.compile(b"\x01\x01+")
 _MIXED = re.compile(r"[^\W\d_][^\W_]*[^a-zß-ÿœ]|[0-9@$!|+(<*#€£¢][^\W\d_]|(.)\1")
 _PURE = re.compile(r"[^\W\d_]+")
 _LETTERS = re.compile(r"[^\W\d_]+")
@@ -75,6 +78,11 @@ def wider_shapes(shape: str) -> list[str]:
     return [shape[k:] for k in range(1, len(shape) - 4)]
 
 
+def squeezed(word: str) -> str:
+    """Every run of a letter as one."""
+    return _RUN.sub(r"\1", word)
+
+
 def trigrams(words: dict[str, int]) -> Counter:
     """Counts of the character trigrams of padded words."""
     tri: Counter = Counter()
@@ -254,22 +262,28 @@ def decode(word: str, model: CharModel) -> str:
     return "".join(reversed(out))
 
 
+def is_fragment(token: str) -> bool:
+    # a token that begins with more letters than a fragment has is none
+    return len(token) <= FRAGMENT or not token[: FRAGMENT + 1].isalpha() and 0 < len(token.translate(_NO_SEPARATOR)) <= FRAGMENT
+
+
+def runs(tokens: list[str], pieces: set[str]) -> list[str]:
+    """Runs of two or more neighbouring tokens out of ``pieces``, joined by blanks."""
+    if not pieces:
+        return []
+    return [BLANK.join(tokens[m.start() : m.end()]) for m in _BESIDE.finditer(bytes(map(pieces.__contains__, tokens)))]
+
+
 def fragments(tokens: list[str]) -> list[str]:
     """Runs of two or more neighbouring fragments, joined by blanks."""
-    # a token that begins with more letters than a fragment has is none
-    at = [k for k, t in enumerate(tokens) if len(t) <= FRAGMENT or not t[: FRAGMENT + 1].isalpha() and 0 < len(t.translate(_NO_SEPARATOR)) <= FRAGMENT]
-    out, begin = [], 0
-    for k in range(1, len(at) + 1):
-        if k == len(at) or at[k] != at[k - 1] + 1:
-            if k - begin > 1:
-                out.append(BLANK.join(tokens[at[begin] : at[k - 1] + 1]))
-            begin = k
-    return out
+    return runs(tokens, set(filter(is_fragment, set(tokens))))
 
 
 def bare(token: str) -> str:
     """What of a token ``restore`` looks at."""
-    return token if BLANK in token else _EDGE.sub("", token)
+    if token.isalpha() or BLANK in token:
+        return token
+    return token[:-1] if token[-1:] in _STOPS and token[:-1].isalpha() else _EDGE.sub("", token)
 
 
 def restore(token: str, model: CharModel) -> list[str]:
@@ -278,7 +292,7 @@ def restore(token: str, model: CharModel) -> list[str]:
     if BLANK in token:
         whole = decode(token, model).split(BLANK)
         return [w for w in whole if len(w) > FRAGMENT]
-    token = _EDGE.sub("", token)
+    token = bare(token)
     if not token:
         return []
     if _PURE.fullmatch(token):
@@ -317,9 +331,18 @@ class Scorer:
     def __init__(self, model: CharModel, weights: dict[str, float], beta: tuple[float, ...], restored: Restorer | None = None):
         self.model, self.weights, self.beta, self.restored = model, weights, beta, restored
         self.cache: dict[str, float] = {}
+        self.plain: set[str] = set()  # tokens without weight that are no fragments
         # no word needs its longer shapes looked up if none begins or ends so
         self.heads = {s[1:5] for s in weights if s[0] == "^"}
         self.tails = {s[-5:-1] for s in weights if s[0] not in "=^"}
+        # the same of words squeezed, for what decoding may make of a word
+        self.once = {squeezed(s[1:]) for s in weights if s[0] == "="}
+        self.once_heads, self.once_tails = set(map(squeezed, self.heads)), set(map(squeezed, self.tails))
+        self.begins = {squeezed(s.strip("=^$"))[:3] for s in weights}
+
+    def forget(self) -> None:
+        self.cache.clear()
+        self.plain.clear()
 
     def word(self, word: str) -> float:
         if word[:4] in self.heads or word[-4:] in self.tails:
@@ -327,31 +350,56 @@ class Scorer:
             return max((get(s, 0.0) for s in shapes(word)), default=0.0)
         return self.weights.get("=" + word, 0.0)
 
-    def token(self, token: str) -> float:
-        found = self.cache.get(token)
-        if found is None:
-            key = bare(token)
-            if key != token:
-                found = self.token(key)
-            else:
-                words = restore(token, self.model) if self.restored is None else self.restored(token)
-                found = max(map(self.word, words), default=0.0)
-            if len(self.cache) >= CACHE_WORDS:
-                self.cache.clear()
-            if len(token) <= CACHE_CHARS:
-                self.cache[token] = found
-        return found
+    def may_hide(self, word: str) -> bool:
+        """Whether a reading of a word of letters alone may have a weight: all
+        of them differ in the lengths of runs only."""
+        once = squeezed(word)
+        if once in self.once:
+            return True
+        heads, tails = self.once_heads, self.once_tails
+        return any(once[:k] in heads or once[-k:] in tails for k in (1, 2, 3, 4))
+
+    def may_join(self, run: str) -> bool:
+        """Whether a run of fragments may hide a weight: the letters of a shape
+        follow each other in it, but for the lengths of runs."""
+        letters = run.replace(BLANK, "").translate(_NO_SEPARATOR)
+        if not letters.isalpha():
+            return bool(letters)
+        once, begins = squeezed(letters), self.begins
+        return any(once[k : k + n] in begins for k in range(len(once)) for n in (1, 2, 3))
+
+    def weigh(self, token: str) -> float:
+        """The strongest weight of a token's words, or of a run's."""
+        token = bare(token)
+        if BLANK in token:
+            if not self.may_join(token):
+                return 0.0
+        elif token.isalpha() and not (_TWICE.search(token) and self.may_hide(token)):
+            return self.word(token)
+        words = restore(token, self.model) if self.restored is None else self.restored(token)
+        return max(map(self.word, words), default=0.0)
 
     def evidence(self, text: str) -> tuple[float, float, float]:
         """(strongest weight, log of evident words, log of their weight)."""
         tokens = text.lower().split()
-        get, one = self.cache.get, self.token
+        if len(self.plain) >= CACHE_WORDS:
+            self.plain.clear()
+        if len(self.cache) >= CACHE_WORDS:
+            self.cache.clear()
+        get, cache, plain = self.cache.get, self.cache, self.plain
         n, total, most = 0, 0.0, 0.0
-        known = {}
-        for t in set(tokens):
-            w = get(t)
+        known, pieces = {}, set()
+        for t in set(tokens) - plain:
+            w, piece = get(t), is_fragment(t)
+            if piece:
+                pieces.add(t)
             if w is None:
-                w = one(t)
+                w = self.weigh(t)
+                if len(t) <= CACHE_CHARS:
+                    if w or piece:
+                        cache[t] = w
+                    else:
+                        plain.add(t)
             if w:
                 known[t] = w
         if known:
@@ -360,10 +408,12 @@ class Scorer:
                     n += 1
                     total += known[t]
             most = max(known.values())
-        for run in fragments(tokens):
+        for run in runs(tokens, pieces):
             w = get(run)
             if w is None:
-                w = one(run)
+                w = self.weigh(run)
+                if len(run) <= CACHE_CHARS:
+                    cache[run] = w
             if w:
                 n, total, most = n + 1, total + w, max(most, w)
         return most, math.log1p(n), math.log1p(total)
@@ -432,6 +482,8 @@ def families(texts: list[str]) -> list[int]:
 LEAST, WEIGHT_LEAST, G_LEAST, G_HALF = 3, 2.5, 20.0, 14.0
 #: Slots of the table that counts shapes by hash before any is kept by name.
 SLOTS = 1 << 23
+#: One in so many clean families is counted first, to see which shapes already fail.
+PART = 8
 
 
 def _slot(shape: str) -> int:
@@ -595,7 +647,7 @@ def score_column(scorer: Scorer, text_col: str = "text") -> Column:
         mine = scorer.score
         for texts in batches:
             yield texts.map(lambda t: mine(t or ""))
-        scorer.cache.clear()
+        scorer.forget()
         give_back()
 
     return run(F.col(text_col))
@@ -670,6 +722,15 @@ def with_families(texts: DataFrame) -> DataFrame:
     return stage(texts.select("id", "text").join(narrow(one), "id").drop("id"), "tox-rows")
 
 
+def marks(found: DataFrame) -> np.ndarray:
+    """Bits by slot of shapes."""
+    slot = F.crc32("shape") % SLOTS
+    marked = found.select(slot.alias("slot")).groupBy(F.expr("cast(slot div 8 as int)").alias("byte")).agg(F.expr("bit_or(shiftright(128, cast(slot % 8 as int)))").alias("bits")).toPandas()
+    out = np.zeros(SLOTS // 8, dtype=np.uint8)
+    out[marked["byte"].to_numpy()] = marked["bits"].to_numpy()
+    return out
+
+
 def count_shapes(texts: DataFrame, model: CharModel, wanted: np.ndarray | None) -> DataFrame:
     """(shape, f0, f1): families of either half that show a shape; with
     ``wanted``, bits by slot, only shapes of marked slots."""
@@ -678,6 +739,7 @@ def count_shapes(texts: DataFrame, model: CharModel, wanted: np.ndarray | None)
         restored = Restorer(model)
         known: dict[str, list[str]] = {}
         tokens_known: dict[str, list[str]] = {}
+        dull: set[str] = set()  # tokens without a shape that are no fragments
         counts: tuple[Counter, Counter] = (Counter(), Counter())
         slots = None if wanted is None else np.unpackbits(wanted).tobytes()
 
@@ -686,7 +748,7 @@ def count_shapes(texts: DataFrame, model: CharModel, wanted: np.ndarray | None)
             if found is None:
                 found = shapes(word)
                 if slots is not None:
-                    found = [s for s in found if slots[_slot(s)]]
+                    found = [s for s in found if slots[crc32(s.encode()) % SLOTS]]
                 if len(known) >= CACHE_WORDS // 2:
                     known.clear()
                 if len(word) <= CACHE_CHARS:
@@ -694,13 +756,11 @@ def count_shapes(texts: DataFrame, model: CharModel, wanted: np.ndarray | None)
             return found
 
         def of(token: str) -> list[str]:
-            lists = [of_word(w) for w in restored(token)]
-            found = lists[0] if len(lists) == 1 else [s for some in lists for s in some]
-            if len(tokens_known) >= CACHE_WORDS // 2:
-                tokens_known.clear()
-            if len(token) <= CACHE_CHARS:
-                tokens_known[token] = found
-            return found
+            key = bare(token)
+            if key.isalpha() and not _TWICE.search(key):
+                return of_word(key)
+            lists = [of_word(w) for w in restored(key)]
+            return lists[0] if len(lists) == 1 else [s for some in lists for s in some]
 
         def batch_of(names: list[str], half: int, n: list[int], unit: int | None) -> pa.RecordBatch:
             size = len(names)
@@ -728,16 +788,36 @@ def count_shapes(texts: DataFrame, model: CharModel, wanted: np.ndarray | None)
                     seen = set()
                 last = now
                 tokens = text.lower().split()
-                for t in {*tokens, *fragments(tokens)}:
+                if len(tokens_known) >= CACHE_WORDS // 2:
+                    tokens_known.clear()
+                if len(dull) >= CACHE_WORDS // 2:
+                    dull.clear()
+                pieces = set()
+                for t in set(tokens) - dull:
+                    found, piece = get(t), is_fragment(t)
+                    if piece:
+                        pieces.add(t)
+                    if found is None:
+                        found = of(t)
+                        if len(t) <= CACHE_CHARS:
+                            if found or piece:
+                                tokens_known[t] = found
+                            else:
+                                dull.add(t)
+                    if found:
+                        seen.update(found)
+                for t in set(runs(tokens, pieces)):
                     found = get(t)
                     if found is None:
                         found = of(t)
+                        if len(t) <= CACHE_CHARS:
+                            tokens_known[t] = found
                     if found:
                         seen.update(found)
         if last is not None:
             yield from close(seen, last[0], last[1], last[2] == 1)
         yield from flush()
-        del restored, known, tokens_known, get, counts
+        del restored, known, tokens_known, dull, get, counts
         give_back()
 
     columns = ["text", "root", "half", "parts", "part"]
@@ -754,15 +834,6 @@ def weights_of(texts: DataFrame, model: CharModel) -> list[dict[str, float]]:
     """Weights without the first half, without the second, and of all families."""
     sizes = {(r["label"], r["half"]): r["n"] for r in texts.select("root", "label", "half").distinct().groupBy("label", "half").agg(F.count(F.lit(1)).alias("n")).collect()}
     totals = [[sum(sizes.get((label, h), 0) for h in (0, 1) if h != skip) for label in (1, 0)] for skip in (0, 1, 2)]
-    toxic = count_shapes(texts.filter("label = 1"), model, None)
-    toxic = stage(toxic.filter(F.col("f0") + F.col("f1") >= LEAST), "tox-shapes")
-    slot = F.crc32("shape") % SLOTS
-    marked = toxic.select(slot.alias("slot")).groupBy(F.expr("cast(slot div 8 as int)").alias("byte")).agg(F.expr("bit_or(shiftright(128, cast(slot % 8 as int)))").alias("bits"))
-    wanted = np.zeros(SLOTS // 8, dtype=np.uint8)
-    found = marked.toPandas()
-    wanted[found["byte"].to_numpy()] = found["bits"].to_numpy()
-    clean = count_shapes(texts.filter("label = 0"), model, wanted).select("shape", F.col("f0").alias("c0"), F.col("f1").alias("c1"))
-    both = toxic.join(clean, "shape", "left").fillna(0, ["c0", "c1"])
 
     # the driver takes what passes for one of the three; ``choose`` decides
     def passes(skip: int) -> Column:
@@ -775,7 +846,19 @@ def weights_of(texts: DataFrame, model: CharModel) -> list[dict[str, float]]:
         g = 2 * (p * F.log(p / ((p + n) * share)) + F.when(n > 0, n * F.log(n / ((p + n) * (1 - share)))).otherwise(0.0))
         return (p >= LEAST) & (weight >= WEIGHT_LEAST - 0.001) & (g >= (G_LEAST if skip == 2 else G_HALF) - 0.001)
 
-    rows = both.filter(passes(0) | passes(1) | passes(2)).collect()
+    def with_clean(clean: DataFrame) -> DataFrame:
+        both = toxic.join(clean.select("shape", F.col("f0").alias("c0"), F.col("f1").alias("c1")), "shape", "left").fillna(0, ["c0", "c1"])
+        return both.filter(passes(0) | passes(1) | passes(2))
+
+    toxic = count_shapes(texts.filter("label = 1"), model, None)
+    toxic = stage(toxic.filter(F.col("f0") + F.col("f1") >= LEAST), "tox-shapes")
+    # more clean families only lower a weight and its G statistic, so what fails
+    # without any, or with those of a part, need not be counted in all
+    toxic = stage(with_clean(toxic.limit(0)).drop("c0", "c1"), "tox-able")
+    clean = texts.filter("label = 0")
+    some = clean.filter(F.pmod(F.xxhash64("root", F.lit(2)), F.lit(PART)) == 0)
+    toxic = stage(with_clean(count_shapes(some, model, marks(toxic))).drop("c0", "c1"), "tox-able")
+    rows = with_clean(count_shapes(clean, model, marks(toxic))).collect()
     out = []
     for skip, (tp, tn) in enumerate(totals):
         use = [h for h in (0, 1) if h != skip]
