@@ -2,32 +2,32 @@
 
 from __future__ import annotations
 
-from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from textloom.functions.metadata import unprefixed
 from textloom.functions.text import terms, trim_ws
-from textloom.operators.embedding import embed
+from textloom.operators.embedding import Reader, embed, given, readable
+from textloom.session import small_batches
 
 #: How many times k the dense channel fetches, and the default k.
 OVERFETCH, DEFAULT_K = 4, 5
-#: Queries up to this number are broadcast.
+#: Queries up to this number are sent to the tasks.
 MOST_BROADCAST = 4096
 #: Parameters of the term weighting.
 K1, B = 1.2, 0.75
 #: Records and queries that meet in one matrix product.
 DOCS_AT_ONCE, QUERIES_AT_ONCE = 256, 256
-
-
-def _small(queries: DataFrame) -> DataFrame:
-    """``queries``, broadcast only if their number is known to be small."""
-    few = queries.limit(MOST_BROADCAST + 1).count() <= MOST_BROADCAST
-    return F.broadcast(queries) if few else queries
+#: Term shares of records that are held at a time.
+MOST_SHARES = 1 << 20
+#: Packs of rows in a part that meets more queries than are sent to the tasks.
+PACKS_A_PART = 16
 
 
 def top_k(scored: DataFrame, k: int, query: str = "query_id", key: str = "id", score: str = "score") -> DataFrame:
@@ -36,19 +36,62 @@ def top_k(scored: DataFrame, k: int, query: str = "query_id", key: str = "id", s
     return scored.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k)
 
 
-def _best(score: np.ndarray, ids: pa.Array, k: int) -> list[int]:
-    """Places of the k best scores; ties to the smaller id."""
-    if len(score) > k:
-        least = np.partition(score, len(score) - k)[len(score) - k]
-        at = np.flatnonzero(score >= least)
-    else:
-        at = np.arange(len(score))
-    names = ids.take(pa.array(at)).to_pylist()
-    return [int(at[i]) for i in sorted(range(len(at)), key=lambda i: (-score[at[i]], names[i]))[:k]]
-
-
 def _rounded(x: np.ndarray) -> np.ndarray:
-    return np.floor(np.abs(x) * 1e6 + 0.5) / 1e6 * np.sign(x)
+    y = np.abs(x)
+    y *= 1e6
+    y += 0.5
+    np.floor(y, out=y)
+    y /= 1e6
+    y *= np.sign(x)
+    return y
+
+
+class _Best:
+    """The k best rows of each query among those met so far; ties to the
+    smaller id.  Holds some k rows a query, however many were met."""
+
+    def __init__(self, queries: int, k: int):
+        self.k, self.least = k, np.full(queries, -np.inf)
+        self.most = max(1 << 15, 2 * queries * k)  # rows held before the worst go
+        self.held: list[tuple[np.ndarray, np.ndarray, pa.Array]] = []
+        self.n = 0
+
+    def add(self, score: np.ndarray, ids: pa.Array, first: int = 0) -> None:
+        """Scores of the queries from number ``first`` on, a row each, with the
+        rows of ``ids``; of -inf is no hit, NaN is above all."""
+        top = np.nan_to_num(score, nan=np.inf, posinf=np.inf, neginf=-np.inf) if np.isnan(score).any() else score
+        least = self.least[first : first + len(score)]
+        good = (top >= least[:, None]) & (top > -np.inf)
+        rows, n = score.shape[1], np.count_nonzero(good)
+        if n > 2 * self.k * len(score) and rows > self.k:
+            good &= top >= np.partition(top, rows - self.k, axis=1)[:, rows - self.k, None]
+            n = np.count_nonzero(good)
+        if n:
+            q, at = np.nonzero(good)
+            self.held.append((q + first, score[q, at], ids.take(pa.array(at))))
+            self.n += n
+            if self.n > self.most:
+                self._drop()
+
+    def _drop(self) -> None:
+        q, score = (np.concatenate([h[c] for h in self.held]) for c in (0, 1))
+        ids = pa.concat_arrays([h[2] for h in self.held])
+        place = np.empty(len(ids), dtype=np.int64)
+        place[pc.array_sort_indices(ids, null_placement="at_start").to_numpy()] = np.arange(len(ids))
+        order = np.lexsort((place, -score, ~np.isnan(score), q))
+        q = q[order]
+        rank = np.arange(len(q)) - np.searchsorted(q, q)
+        last = order[rank == self.k - 1]
+        self.least[q[rank == self.k - 1]] = np.where(np.isnan(score[last]), np.inf, score[last])
+        kept = order[rank < self.k]
+        self.held, self.n = [(q[rank < self.k], score[kept], ids.take(pa.array(kept)))], len(kept)
+
+    def batches(self, q_ids: pa.Array) -> Iterator[pa.RecordBatch]:
+        """What is held, as query_id, id and score."""
+        if self.held:
+            self._drop()
+            q, score, ids = self.held[0]
+            yield pa.RecordBatch.from_arrays([q_ids.take(pa.array(q)), ids, pa.array(score)], ["query_id", "id", "score"])
 
 
 def dense_topk(queries: DataFrame, corpus: DataFrame, k: int = DEFAULT_K * OVERFETCH, block: int = 4096, query_block: int = 256) -> DataFrame:
@@ -56,38 +99,96 @@ def dense_topk(queries: DataFrame, corpus: DataFrame, k: int = DEFAULT_K * OVERF
     with (id, vector).
 
     The stated query set meets every row, a block of rows with a block of
-    queries at a time as one matrix product; a block gives k rows for a query,
-    which are all that is shuffled.  Null vectors take no part.
+    queries at a time as one matrix product.  Up to ``MOST_BROADCAST`` queries
+    are sent to the tasks, each of which gives k rows for a query; more meet
+    the rows pack by pack, and k rows for a query leave each part of the rows.
+    Null vectors take no part.
     """
-    kinds = [queries.schema["query_id"].dataType.simpleString(), corpus.schema["id"].dataType.simpleString()]
+    vector = F.col("vector").cast("array<double>")
+    return _dense(queries.select("query_id", vector.alias("vector")), corpus.select("id", vector.alias("value")), lambda: given, k, block, query_block)
 
-    def packed(rows: DataFrame, key: str, size: int, names: list[str], kind: str) -> DataFrame:
-        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for batch in batches:
-                for at in range(0, batch.num_rows, size):
-                    part = batch.slice(at, size)
-                    flat = part.column(1).flatten()
-                    yield pa.RecordBatch.from_arrays([pa.ListArray.from_arrays(pa.array([0, part.num_rows], pa.int32()), pa.concat_arrays([part.column(0)])), pa.ListArray.from_arrays(pa.array([0, len(flat)], pa.int32()), flat)], names)
 
-        vector = F.col("vector").cast("array<double>").alias("vector")
-        return rows.filter("vector is not null").select(key, vector).mapInArrow(run, f"{names[0]} array<{kind}>, {names[1]} array<double>")
+def _dense(queries: DataFrame, rows: DataFrame, reader: Callable[[], Reader], k: int, block: int = 4096, query_block: int = 256) -> DataFrame:
+    """``dense_topk`` of (query_id, vector) with (id, value), whose vectors
+    ``reader`` reads where the rows are read."""
+    small_batches(rows.sparkSession)
+    kinds = [queries.schema["query_id"].dataType.simpleString(), rows.schema["id"].dataType.simpleString()]
+    schema = f"query_id {kinds[0]}, id {kinds[1]}, score double"
+    queries = queries.filter("vector is not null")
+
+    def read(batches: Iterator[pa.RecordBatch], reader: Callable[[], Reader], size: int) -> Iterator[tuple[pa.Array, np.ndarray]]:
+        """Ids and vectors of ``size`` rows at most."""
+        vectors = reader()
+        for batch in batches:
+            for low in range(0, batch.num_rows, size):
+                part = batch.slice(low, size)
+                at, x = vectors(part.column(1))
+                if len(at):
+                    yield part.column(0).take(pa.array(at)), x
+
+    def meet(best: _Best, ids: pa.Array, x: np.ndarray, q: np.ndarray) -> None:
+        for low in range(0, len(q), query_block):
+            best.add(_rounded(q[low : low + query_block] @ x.T), ids, low)
 
-    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    if queries.limit(MOST_BROADCAST + 1).count() <= MOST_BROADCAST:
+        asked = queries.toArrow().combine_chunks()  # a bounded number
+        if not asked.num_rows:
+            return top_k(rows.sparkSession.createDataFrame([], schema), k).select("query_id", "rank", "id", "score")
+        q_ids, q = asked.column(0).chunk(0), given(asked.column(1).chunk(0))[1]
+
+        def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            best = _Best(len(q), k)
+            for ids, x in read(batches, reader, block):
+                meet(best, ids, x, q)
+            yield from best.batches(q_ids)
+
+        return top_k(rows.mapInArrow(scan, schema), k).select("query_id", "rank", "id", "score")
+
+    def packed(some: DataFrame, reader: Callable[[], Reader], size: int, names: list[str], kind: str) -> DataFrame:
+        """Up to ``size`` ids and their vectors, end to end, a row."""
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            ids, x = [], []
+
+            def row() -> pa.RecordBatch:
+                out = pa.RecordBatch.from_arrays([_listed(pa.concat_arrays(ids)), _listed(pa.array(np.concatenate(x).ravel()))], names)
+                ids.clear()
+                x.clear()
+                return out
+
+            for some_ids, some_x in read(batches, reader, size):
+                if ids and sum(map(len, ids)) + len(some_ids) > size:
+                    yield row()
+                ids.append(some_ids)
+                x.append(some_x)
+            if ids:
+                yield row()
+
+        return some.mapInArrow(run, f"{names[0]} array<{kind}>, {names[1]} array<double>")
+
+    def pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        q_ids = best = None
         for batch in batches:
             for i in range(batch.num_rows):
-                ids, x, q_ids, q = (batch.column(c)[i].values for c in range(4))
-                score = _rounded(q.to_numpy().reshape(len(q_ids), -1) @ x.to_numpy().reshape(len(ids), -1).T)
-                rows, at = [], []
-                for j in range(len(q_ids)):
-                    best = _best(score[j], ids, k)
-                    rows += [j] * len(best)
-                    at += best
-                yield pa.RecordBatch.from_arrays([q_ids.take(pa.array(rows, pa.int64())), ids.take(pa.array(at, pa.int64())), pa.array(score[rows, at])], ["query_id", "id", "score"])
+                asked, q, ids, x = (batch.column(c)[i].values for c in range(4))
+                if q_ids is None or not asked.equals(q_ids):  # the rows of a part follow each other for each pack of queries
+                    if q_ids is not None:
+                        yield from best.batches(q_ids)
+                    q_ids, best = pa.concat_arrays([asked]), _Best(len(asked), k)
+                meet(best, ids, x.to_numpy().reshape(len(ids), -1), q.to_numpy().reshape(len(asked), -1))
+        if q_ids is not None:
+            yield from best.batches(q_ids)
 
-    asked = packed(queries, "query_id", query_block, ["q_ids", "q"], kinds[0])
-    pairs = packed(corpus, "id", block, ["ids", "x"], kinds[1]).join(_small(asked), how="cross")
-    found = pairs.select("ids", "x", "q_ids", "q").mapInArrow(scan, f"query_id {kinds[0]}, id {kinds[1]}, score double")
-    return top_k(found, k).select("query_id", "rank", "id", "score")
+    # shuffled, so that packs are made once and not for each part that they meet
+    cores = rows.sparkSession.sparkContext.defaultParallelism
+    asked = packed(queries, lambda: given, 4 * query_block, ["q_ids", "q"], kinds[0]).repartition(max(1, cores // 4))
+    parts = max(cores, -(-rows.count() // (PACKS_A_PART * block)))
+    met = asked.hint("shuffle_replicate_nl").join(packed(rows, reader, block, ["ids", "x"], kinds[1]).repartition(parts), how="cross")
+    return top_k(met.select("q_ids", "q", "ids", "x").mapInArrow(pairs, schema), k).select("query_id", "rank", "id", "score")
+
+
+def _listed(values: pa.Array) -> pa.ListArray:
+    return pa.ListArray.from_arrays(pa.array([0, len(values)], pa.int32()), values)
 
 
 def query_terms(queries: DataFrame, text_col: str = "q") -> DataFrame:
@@ -132,40 +233,36 @@ def sparse_topk(queries: DataFrame, records: DataFrame, k: int = DEFAULT_K, id_c
     column = {t: i for i, t in enumerate(sorted({r["term"] for r in weights}))}
     entries = np.array([(number[r["query_id"]], column[r["term"]], r["idf"]) for r in weights])
     entries = entries[np.argsort(entries[:, 0], kind="stable")]
-
-    def piece(k: int) -> np.ndarray:
-        """Terms by the queries from number ``k`` on."""
-        some = entries[slice(*np.searchsorted(entries[:, 0], [k, k + QUERIES_AT_ONCE]))]
-        out = np.zeros((len(column), min(QUERIES_AT_ONCE, len(names) - k)))
-        out[some[:, 1].astype(int), some[:, 0].astype(int) - k] = some[:, 2]
-        return out
-
     avgdl, q_type = weights[0]["avgdl"], queries.select("query_id").limit(0).toArrow().schema.field(0).type
+    small_batches(spark)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        q_ids = pa.array(names, q_type)
+        best, listed = _Best(len(names), k), pa.array(list(column), pa.string())
+        docs_at_once = max(1, min(DOCS_AT_ONCE, MOST_SHARES // len(column)))
+
+        @lru_cache(1)
+        def piece(low: int) -> tuple[np.ndarray, np.ndarray]:
+            """The terms of the queries from number ``low`` on, by those queries."""
+            some = entries[slice(*np.searchsorted(entries[:, 0], [low, low + QUERIES_AT_ONCE]))]
+            own, at = np.unique(some[:, 1].astype(int), return_inverse=True)
+            out = np.zeros((len(own), min(QUERIES_AT_ONCE, len(names) - low)))
+            out[at, some[:, 0].astype(int) - low] = some[:, 2]
+            return own, out
+
         for batch in batches:
-            score = np.zeros((batch.num_rows, len(names)))
-            ends, flat = batch.column(1).offsets.to_pylist(), batch.column(1).values
-            for low in range(0, batch.num_rows, DOCS_AT_ONCE):
-                part = range(low, min(low + DOCS_AT_ONCE, batch.num_rows))
-                share = np.zeros((len(part), len(column)))
-                for d in part:
-                    own = flat.slice(ends[d], ends[d + 1] - ends[d]).to_pylist()
-                    scale = K1 * (1 - B + B * len(own) / avgdl)
-                    hits = [(column[t], tf) for t, tf in Counter(own).items() if t in column]
-                    if hits:
-                        at, tf = np.array(hits).T
-                        share[d - low, at] = tf * (K1 + 1) / (tf + scale)
-                for q in range(0, len(names), QUERIES_AT_ONCE):  # a dense piece of the weights at a time
-                    score[low : low + len(part), q : q + QUERIES_AT_ONCE] = share @ piece(q)
-            rows, at = [], []
-            for j in range(len(names)):
-                found = np.flatnonzero(score[:, j])  # every term of a query that a record has counts for it
-                best = [int(found[i]) for i in _best(_rounded(score[found, j]), batch.column(0).take(pa.array(found)), k)]
-                rows += [j] * len(best)
-                at += best
-            yield pa.RecordBatch.from_arrays([q_ids.take(pa.array(rows, pa.int64())), batch.column(0).take(pa.array(at, pa.int64())), pa.array(_rounded(score[at, rows]))], ["query_id", "id", "score"])
+            for low in range(0, batch.num_rows, docs_at_once):
+                part = batch.slice(low, docs_at_once)
+                size = pc.list_value_length(part.column(1)).to_numpy()
+                at = pc.fill_null(pc.index_in(part.column(1).flatten(), listed), -1).to_numpy()
+                cell = (np.repeat(np.arange(len(size)) * len(column), size) + at)[at >= 0]
+                tf = np.bincount(cell, minlength=len(size) * len(column)).reshape(len(size), -1)
+                share = tf * (K1 + 1) / (tf + (K1 * (1 - B + B * size / avgdl))[:, None])
+                for q in range(0, len(names), QUERIES_AT_ONCE):
+                    own, weight = piece(q)
+                    score = (share[:, own] @ weight).T
+                    # every term of a query that a record has counts for it
+                    best.add(np.where(score == 0, -np.inf, _rounded(score)), part.column(0), q)
+        yield from best.batches(pa.array(names, q_type))
 
     return top_k(words.select("id", "w").mapInArrow(run, schema), k).select("query_id", "rank", "id", "score")
 
@@ -177,8 +274,9 @@ def _idf() -> Column:
 def embedded_topk(queries: DataFrame, records: DataFrame, k: int, id_col: str = "id", text_col: str = "chunk_text", model: str | None = None) -> DataFrame:
     """Dense channel over texts: both sides embedded by the named model where
     they are read, then ``dense_topk``."""
+    value, reader = readable(F.col(text_col), model)
     asked = queries.select("query_id", embed(F.col("q"), model).alias("vector"))
-    return dense_topk(asked, records.select(F.col(id_col).alias("id"), embed(F.col(text_col), model).alias("vector")), k)
+    return _dense(asked, records.select(F.col(id_col).alias("id"), value.alias("value")), reader, k)
 
 
 def hybrid_search(queries: DataFrame, records: DataFrame, k: int = DEFAULT_K, id_col: str = "id", text_col: str = "chunk_text", model: str | None = None) -> DataFrame:

@@ -11,6 +11,9 @@ from pyspark.sql import DataFrame, SparkSession
 
 ROOT = str(Path(__file__).resolve().parent.parent)
 
+#: Bytes that pass between the JVM and a Python worker at a time, or one row.
+BATCH_BYTES = 4 << 20
+
 
 def ship(spark: SparkSession) -> SparkSession:
     """Let Python workers import this package wherever the driver was started.
@@ -26,6 +29,13 @@ def ship(spark: SparkSession) -> SparkSession:
     return spark
 
 
+def small_batches(spark: SparkSession) -> SparkSession:
+    """The session with workers that take a few MB at a time, so what they hold
+    follows neither the rows of a partition nor their length."""
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
+    return spark
+
+
 def local_session(cpus: int | str = "*", shuffle_partitions: int = 8, memory: str = "8g") -> SparkSession:
     """A session for tests and benchmarks on one machine."""
     spark = (
