@@ -348,3 +348,28 @@ def test_best_rows_are_bounded():
         order = np.lexsort((ids, -score[q], ~np.isnan(score[q])))[:20]
         assert str([x[1:] for x in got if x[0] == q]) == str([(str(ids[i]), float(score[q, i])) for i in order])
     assert not [x for x in got if x[0] == 3]
+
+
+def live_pages():
+    """A decoder whose page says how many of its pages the worker holds."""
+
+    class Page(str):
+        live = 0
+
+        def __del__(self):
+            Page.live -= 1
+
+    def decoder(content):
+        Page.live += 1
+        return [Page(Page.live)], {"size": str(len(content))}
+
+    return decoder
+
+
+def test_pages_leave_file_by_file(spark, tmp_path):
+    for i in range(40):
+        (tmp_path / f"{i}.txt").write_text("x")
+    got = pages.decode_pages(pages.scan_directory(spark, str(tmp_path), ".txt").coalesce(1), live_pages()).collect()
+    assert len(got) == 40 and max(int(r["page_text"]) for r in got) <= 2 and {str(r["info"]) for r in got} == {"{'size': '1'}"}
+    long = pages.decode_pages(spark.createDataFrame([("a", bytearray(b"y" * (3 << 19) + b"\f") * 3)], "source_file string, content binary"))
+    assert [(r["page_number"], len(r["page_text"])) for r in long.collect()] == [(1, 3 << 19), (2, 3 << 19), (3, 3 << 19), (4, 0)]

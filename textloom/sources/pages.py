@@ -4,16 +4,21 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterator
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
+from textloom.session import small_batches
+
 #: Decodes a file's bytes to (page texts, document information).
 Decoder = Callable[[bytes], tuple[list[str | None], dict[str, str]]]
 
 PAGE_SCHEMA = "source_file string, page_number int, page_text string, info map<string,string>, status string, error_type string"
 
+#: Characters and pages that leave a file's decoder at a time.
+BATCH_CHARS, BATCH_PAGES = 1 << 20, 1000
+
 
 def form_feed_decoder(content: bytes) -> tuple[list[str | None], dict[str, str]]:
     """Plain text with form feeds between pages; the stand-in for a PDF parser."""
@@ -42,23 +47,39 @@ def decode_pages(files: DataFrame, decoder: Decoder = form_feed_decoder) -> Data
     """One row per page, numbered from 1, null text as "".
 
     A file that cannot be decoded gives one row with its error and no page, so
-    it stops no other file.
+    it stops no other file.  A worker holds one file's pages, and a batch of
+    the files' bytes.
     """
 
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for frame in frames:
-            rows = []
-            for name, content in zip(frame["source_file"], frame["content"]):
-                try:
-                    pages, info = decoder(bytes(content))
-                    rows += [(name, n, text or "", dict(info), "success", None) for n, text in enumerate(pages, 1)]
-                except Exception as e:  # noqa: BLE001  any decoder fault becomes a row
-                    rows.append((name, None, None, None, "error", type(e).__name__))
-            out = pd.DataFrame(rows, columns=["source_file", "page_number", "page_text", "info", "status", "error_type"])
-            out["page_number"] = out["page_number"].astype("Int32")
-            yield out
-
-    return files.select("source_file", "content").mapInPandas(run, PAGE_SCHEMA)
+    small_batches(files.sparkSession)
+
+    def rows(name: str, content: bytes | None) -> list[tuple]:
+        try:
+            pages, info = decoder(bytes(content))
+            return [(name, n, text or "", dict(info), "success", None) for n, text in enumerate(pages, 1)]
+        except Exception as e:  # noqa: BLE001  any decoder fault becomes a row
+            return [(name, None, None, None, "error", type(e).__name__)]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i in range(batch.num_rows):  # a file at a time
+                some, chars = [], 0
+                for row in rows(batch.column(0)[i].as_py(), batch.column(1)[i].as_py()):
+                    some.append(row)
+                    chars += len(row[2] or "")
+                    if chars >= BATCH_CHARS or len(some) >= BATCH_PAGES:
+                        yield _page_batch(some)
+                        some, chars = [], 0
+                if some:
+                    yield _page_batch(some)
+
+    return files.select("source_file", "content").mapInArrow(run, PAGE_SCHEMA)
+
+
+def _page_batch(rows: list[tuple]) -> pa.RecordBatch:
+    text = pa.string()
+    kinds = {"source_file": text, "page_number": pa.int32(), "page_text": text, "info": pa.map_(text, text), "status": text, "error_type": text}
+    return pa.RecordBatch.from_arrays([pa.array([list(r[c].items()) if isinstance(r[c], dict) else r[c] for r in rows], kind) for c, kind in enumerate(kinds.values())], list(kinds))
 
 
 def document_texts(pages: DataFrame) -> DataFrame:
