@@ -36,3 +36,14 @@ def test_ingest_stream_reads_files_once(spark, tmp_path):
         live.run_once(live.ingest_stream(spark, str(tmp_path / "in")), str(tmp_path / "out"), str(tmp_path / "cp"))
         assert spark.read.parquet(str(tmp_path / "out")).count() == expected
         (tmp_path / "in/b.txt").write_text("x" * 500 + "\f" + "y")
+
+
+def test_ingest_stream_holds_a_file_at_a_time(spark, tmp_path):
+    from tests.test_reference_operators import live_pages
+
+    (tmp_path / "in").mkdir()
+    for i in range(80):
+        (tmp_path / f"in/{i}.txt").write_text("x")
+    live.run_once(live.ingest_stream(spark, str(tmp_path / "in"), decoder=live_pages()), str(tmp_path / "out"), str(tmp_path / "cp"))
+    got = spark.read.parquet(str(tmp_path / "out")).collect()
+    assert len(got) == 80 and max(int(r["chunk"]) for r in got) <= 2
