@@ -50,7 +50,7 @@ def test_every_oracle_has_a_query():
     assert set(entry.oracle_sql()) <= set(entry.queries())
 
 
-@pytest.mark.parametrize("name", ["rerank_lookup", "context_build", "rerank_topn"])
+@pytest.mark.parametrize("name", ["rerank_lookup", "context_build", "rerank_topn", "result_view"])
 def test_search_has_one_python_step_a_channel(spark, name):
     plan = entry.queries()[name](spark, BASE)._jdf.queryExecution().executedPlan().toString()
     assert "EvalPython" not in plan and 1 <= plan.count("MapInArrow") <= 2
